@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .pii import op9_pii
 from .quality_rules import op8_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": op8_quality_rules}
+    return {"op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:

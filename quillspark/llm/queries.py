@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op5_best_fit_packing
 from .pii import op9_pii
+from .quality_classifier import op3_quality_classifier
 from .quality_rules import op8_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
+    return {"op3_quality_classifier": op3_quality_classifier, "op5_best_fit_packing": op5_best_fit_packing, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:

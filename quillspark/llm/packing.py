@@ -8,6 +8,7 @@ open bin with room for all three that the chosen measure likes best.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ END_ID = 1
 #: Pieces a shard holds on average.  More pieces to choose from waste less; each shard leaves at most a few bins part-filled.
 SHARD_PIECES = 16_384
 #: Distinct words whose ids a worker remembers; beyond it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -35,6 +36,7 @@ _tokenizers: dict[str, tuple] = {}
 def _tokenizer(path: str) -> tuple:
     """The tokenizer at ``path`` and its worker's memory of words, loaded once a worker."""
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would wait for others' cores
         from tokenizers import Tokenizer
 
         _tokenizers[path] = (Tokenizer.from_file(path), {})
@@ -58,7 +60,7 @@ def token_bytes(text: str, path: str) -> bytes:
             new = list(set(words))
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
-            for w, got in zip(some, tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
+            for w, got in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                 known[w] = np.array(got.ids, "<u4").tobytes()
         return b"".join(map(known.__getitem__, words))
 

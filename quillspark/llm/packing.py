@@ -9,6 +9,7 @@ open bin with room for all three that the chosen measure likes best.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +44,30 @@ def _tokenizer(path: str) -> tuple:
     return _tokenizers[path]
 
 
+#: A Latin word with marks behind it: the vocabulary's splitter always parts the two, and knows no capitals.
+_MARKED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([-.,;:!?%&$#*()\[\]|/\"]+)")
+
+
+def _learn(words: set[bytes], known: dict[bytes, bytes], tokenizer) -> None:
+    """Adds the ids of ``words`` to ``known``; a word with marks behind it by way of its two parts."""
+    parts: dict[bytes, tuple[bytes, bytes]] = {}
+    ask: set[bytes] = set()
+    for w in words:
+        m = _MARKED.fullmatch(w.decode())
+        if m:
+            parts[w] = own = (m[1].lower().encode(), m[2].encode())
+            ask.update(x for x in own if x not in known)
+        else:
+            ask.add(w)
+    each = list(ask)
+    for k in range(0, len(each), 4096):
+        some = each[k : k + 4096]
+        for w, got in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+            known[w] = np.array(got.ids, "<u4").tobytes()
+    for w, (a, b) in parts.items():
+        known[w] = known[a] + known[b]
+
+
 def token_bytes(text: str, path: str) -> bytes:
     """The ids of ``text`` as little-endian unsigned 32-bit numbers.
 
@@ -54,14 +79,9 @@ def token_bytes(text: str, path: str) -> bytes:
     try:
         return b"".join(map(known.__getitem__, words))
     except KeyError:
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
+        if len(known) > CACHE_WORDS:
             known.clear()
-            new = list(set(words))
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for w, got in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(got.ids, "<u4").tobytes()
+        _learn({w for w in words if w not in known}, known, tokenizer)
         return b"".join(map(known.__getitem__, words))
 
 

@@ -10,13 +10,14 @@ from .packing import op5_best_fit_packing
 from .pii import op9_pii
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op8_quality_rules
+from .simhash import op1_simhash
 from .url_filters import op7_url_filters
 from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op7_url_filters": op7_url_filters, "op3_quality_classifier": op3_quality_classifier, "op5_best_fit_packing": op5_best_fit_packing, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
+    return {"op1_simhash": op1_simhash, "op2_warc": op2_warc, "op7_url_filters": op7_url_filters, "op3_quality_classifier": op3_quality_classifier, "op5_best_fit_packing": op5_best_fit_packing, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL}
+    return {"op1_simhash": op1_simhash, "op2_warc": OP2_SQL}

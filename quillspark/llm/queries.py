@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op10_decontamination
 from .line_dedup import op4_line_dedup
 from .packing import op5_best_fit_packing
 from .pii import op9_pii
@@ -17,7 +18,7 @@ from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_warc": op2_warc, "op4_line_dedup": op4_line_dedup, "op7_url_filters": op7_url_filters, "op3_quality_classifier": op3_quality_classifier, "op5_best_fit_packing": op5_best_fit_packing, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
+    return {"op1_simhash": op1_simhash, "op2_warc": op2_warc, "op4_line_dedup": op4_line_dedup, "op10_decontamination": op10_decontamination, "op7_url_filters": op7_url_filters, "op3_quality_classifier": op3_quality_classifier, "op5_best_fit_packing": op5_best_fit_packing, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:

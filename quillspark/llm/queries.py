@@ -13,12 +13,13 @@ from .pii import op9_pii
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op8_quality_rules
 from .simhash import op1_simhash
+from .suffix_dedup import op6_suffix_dedup
 from .url_filters import op7_url_filters
 from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_warc": op2_warc, "op4_line_dedup": op4_line_dedup, "op10_decontamination": op10_decontamination, "op7_url_filters": op7_url_filters, "op3_quality_classifier": op3_quality_classifier, "op5_best_fit_packing": op5_best_fit_packing, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
+    return {"op1_simhash": op1_simhash, "op2_warc": op2_warc, "op4_line_dedup": op4_line_dedup, "op10_decontamination": op10_decontamination, "op6_suffix_dedup": op6_suffix_dedup, "op7_url_filters": op7_url_filters, "op3_quality_classifier": op3_quality_classifier, "op5_best_fit_packing": op5_best_fit_packing, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import lexical
+
+_MODULES = (lexical,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.oracle_sql().items()}

@@ -1,8 +1,7 @@
 """Full-text retrieval: token tables, BM25 with column weights, phrases, prefixes and negation.
 
-Queries are rows, so that one plan answers them all: query items are expanded
-against the vocabulary, joined with the postings on terms, and only then with
-anything else.
+Queries are rows, so that one plan answers them all: query items meet the
+postings first, and only what matches meets anything else.
 """
 
 from __future__ import annotations
@@ -62,13 +61,11 @@ def query_items(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFram
 def occurrences(tokens_: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, item, negated, doc_id, col, occ): how often each item occurs in each column of each document.
 
-    Items are few and bounded by the queries, so the vocabulary side of the
-    prefix match is a scan with them broadcast; postings are joined on terms.
+    Items are few, bounded by the queries, so they are broadcast and postings
+    are matched where they lie; only what matches is shuffled.
     """
-    terms = tokens_.select("term").distinct()
     wanted = F.when(F.col("prefix"), F.col("term").startswith(F.col("token"))).otherwise(F.col("term") == F.col("token"))
-    hits = terms.join(F.broadcast(items), wanted)
-    found = tokens_.join(hits, "term").select("query_id", "item", "negated", "doc_id", "col", (F.col("pos") - F.col("k")).alias("base"), "k", "m")
+    found = tokens_.join(F.broadcast(items), wanted).select("query_id", "item", "negated", "doc_id", "col", (F.col("pos") - F.col("k")).alias("base"), "k", "m")
     single = found.where("m = 1").groupBy("query_id", "item", "negated", "doc_id", "col").agg(F.count("*").alias("occ"))
     phrase = found.where("m > 1").groupBy("query_id", "item", "negated", "doc_id", "col", "base", "m").agg(F.countDistinct("k").alias("got")).where("got = m")
     phrase = phrase.groupBy("query_id", "item", "negated", "doc_id", "col").agg(F.count("*").alias("occ"))

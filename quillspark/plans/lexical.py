@@ -95,16 +95,15 @@ def cjk_normalize(spark, sf_dir):
     return read_table(spark, sf_dir, "customer").select("c_custkey", T.normalize_cjk(made).alias("normalized"), T.contains_cjk(made).alias("has_cjk"), T.contains_cjk(F.col("c_name")).alias("plain_has_cjk"))
 
 
-_LEX_BAD = F.when(F.col("q").contains("\n") | F.col("q").contains("\r"), validate_lexical("\n")).when((F.length("q") - F.length(F.replace("q", F.lit('"'), F.lit("")))) % 2 == 1, validate_lexical('"'))
-
-
 def query_validation(spark, sf_dir):
     """Both validators over query texts made from the benchmark's words."""
     head = F.substring_index("text", " ", 3)
     forms = F.array(head, F.concat(F.lit('"'), head), F.concat(head, F.lit(" -"), head), F.col("text"), F.concat(F.lit('-"'), head, F.lit('"')))
     rows = read_table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(forms).alias("form", "q"))
     bad = F.when(F.col("q").rlike(r'(^|\s)-[\w"]'), validate_semantic("-x"))
-    return rows.select("item_id", "form", _LEX_BAD.alias("lexical_error"), bad.alias("semantic_error"))
+    odd = (F.length("q") - F.length(F.replace("q", F.lit('"'), F.lit("")))) % 2 == 1
+    lexical = F.when(F.col("q").contains("\n") | F.col("q").contains("\r"), validate_lexical("\n")).when(odd, validate_lexical('"'))
+    return rows.select("item_id", "form", lexical.alias("lexical_error"), bad.alias("semantic_error"))
 
 
 def queries() -> dict:

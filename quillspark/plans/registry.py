@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lexical
+from . import lexical, vectors
 
-_MODULES = (lexical,)
+_MODULES = (lexical, vectors)
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lexical, vectors
+from . import lexical, maintenance, vectors
 
-_MODULES = (lexical, vectors)
+_MODULES = (lexical, vectors, maintenance)
 
 
 def queries() -> dict:

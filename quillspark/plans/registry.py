@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lexical, maintenance, vectors
+from . import documents, lexical, maintenance, vectors
 
-_MODULES = (lexical, vectors, maintenance)
+_MODULES = (lexical, vectors, maintenance, documents)
 
 
 def queries() -> dict:

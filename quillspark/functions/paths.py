@@ -75,7 +75,7 @@ def glob_to_regex(pattern: str) -> str:
         if c == "*":
             while pattern[i + 1 : i + 2] == "*":
                 i += 1
-            if out and pattern[i - 1 : i + 2] == "**/":
+            if i and pattern[i - 1 : i + 2] == "**/":
                 out.append("(?:.*/)?")
                 i += 1
             else:

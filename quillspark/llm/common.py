@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship  # noqa: F401  the operators take it from here
+
 #: Words are maximal runs of anything but space, tab, LF, VT, FF and CR.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -19,26 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once an application.
-
-    Functions that workers run are then importable there by name, and what
-    their modules remember lasts as long as a worker.
-    """
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        path = os.path.join(tempfile.mkdtemp(prefix="quillspark-"), f"{root.name}.zip")
-        with zipfile.ZipFile(path, "w") as out:
-            for p in sorted(root.rglob("*.py")):
-                out.write(p, p.relative_to(root.parent))
-        context.addPyFile(path)
-        _shipped.add(context.applicationId)
-
-
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is computed once a row however often ``body`` names it.
 

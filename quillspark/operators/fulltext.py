@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import docid, normalize_cjk, tokens
 from ..functions.paths import virtual_path
+from ..functions.stemming import porter, stemmed
+from ..functions.text import docid, normalize_cjk, tokens
 from ..plans.query_language import parse_lexical
 
 #: Weights of the indexed columns, BM25's two constants, and what an item's weight is at least.
@@ -47,14 +48,15 @@ def lengths(tokens_: DataFrame) -> DataFrame:
     return tokens_.groupBy("doc_id").agg(F.count("*").alias("dl"))
 
 
-def query_items(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFrame:
+def query_items(spark: SparkSession, queries: list[tuple[int, str]], stem: bool = False) -> DataFrame:
     """(query_id, item, negated, prefix, k, m, token): a row for each token of each item of each query."""
+    shape = porter if stem else (lambda t: t)
     rows = []
     for q, text in queries:
         for i, item in enumerate(parse_lexical(text)):
             for k, t in enumerate(item.tokens or ("\u0000",)):
                 last = k == max(0, len(item.tokens) - 1)
-                rows.append((q, i, item.negated, item.prefix and last, k, max(1, len(item.tokens)), t))
+                rows.append((q, i, item.negated, item.prefix and last, k, max(1, len(item.tokens)), shape(t)))
     return spark.createDataFrame(rows, "query_id int, item int, negated boolean, prefix boolean, k int, m int, token string")
 
 
@@ -95,13 +97,14 @@ def bm25(documents: DataFrame, items: DataFrame, tokens_: DataFrame | None = Non
     return out.join(per.where("negated").select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti")
 
 
-def search(spark: SparkSession, documents: DataFrame, queries: list[tuple[int, str]], limit: int = DEFAULT_LIMIT, collection: str | None = None, min_score: float = 0.0, exact: bool = False) -> DataFrame:
+def search(spark: SparkSession, documents: DataFrame, queries: list[tuple[int, str]], limit: int = DEFAULT_LIMIT, collection: str | None = None, min_score: float = 0.0, exact: bool = False, stem: bool = False) -> DataFrame:
     """The best documents for each query: query_id, rank, doc_id, docid, collection, path, file, title, score.
 
     With a collection, ten times ``limit`` documents are fetched before those
-    of others are dropped; ``exact`` filters first.  Ties go by document id.
+    of others are dropped; ``exact`` filters first.  With ``stem``, terms of
+    documents and queries are Porter stems.  Ties go by document id.
     """
-    ranked = bm25(documents, query_items(spark, queries))
+    ranked = bm25(documents, query_items(spark, queries, stem), stemmed(token_table(documents)) if stem else None)
     cut = limit * OVERFETCH if collection and not exact else limit
     facts = documents.where("active").select("doc_id", docid(F.col("hash")).alias("docid"), "collection", "path", "title")
     if collection and exact:

@@ -189,6 +189,33 @@ z AS (SELECT *, round(w * (1.0::DOUBLE / rank) + (1 - w) * rr, 9) AS blended FRO
 SELECT 1 AS query_id, CAST(row_number() OVER (ORDER BY blended DESC, file) AS INT) AS final_rank, doc_id, file, blended FROM z QUALIFY row_number() OVER (ORDER BY blended DESC, file) <= 10"""
 
 
+STRUCTURED = ("src1", "src3")
+
+
+def structured_mock(s, d):
+    """A structured search over two collections: lexical lists first, then vector lists."""
+    docs, vectors = _docs(s, d), derived.chunk_vectors(s, d)
+    qv = read_table(s, d, "embeddings").where("vec_id < 1").select(F.lit(1).alias("query_id"), F.col("embedding").alias("query_vec"))
+    n, out = len(STRUCTURED), None
+    for i, c in enumerate(STRUCTURED):
+        lex = ft.search(s, docs, [(1, "the")], limit=20, collection=c).select("query_id", F.lit(i).alias("list_index"), "file", "rank")
+        vec = nearest.knn(vectors, docs, qv, 20, c).select("query_id", F.lit(n + i).alias("list_index"), "file", "rank")
+        out = lex.unionByName(vec) if out is None else out.unionByName(lex).unionByName(vec)
+    return fusion.structured(out, 10)
+
+
+def _structured_sql():
+    from .vectors import knn_sql
+
+    parts = []
+    for i, c in enumerate(STRUCTURED):
+        parts.append(f"SELECT {i} AS list_index, file, rank FROM ({search_sql([(1, 'the')], limit=20, collection=c)})")
+        parts.append(f"SELECT {len(STRUCTURED) + i}, file, rank FROM ({knn_sql(20, c).replace('q.vec_id < 5', 'q.vec_id < 1')})")
+    return f"""WITH l AS ({' UNION ALL '.join(parts)}), m AS (SELECT min(list_index) AS first FROM l),
+f AS (SELECT file, round(sum(CASE WHEN list_index = first THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank)) + CASE WHEN min(rank) = 1 THEN 0.05::DOUBLE WHEN min(rank) <= 3 THEN 0.02::DOUBLE ELSE 0::DOUBLE END, 9) AS s, CAST(min(rank) AS INT) AS top_rank FROM l, m GROUP BY file),
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY s DESC, file) AS INT) AS rank FROM f) SELECT 1 AS query_id, rank, file, top_rank, round(1.0::DOUBLE / rank, 9) AS score FROM r WHERE rank <= 10"""
+
+
 def queries() -> dict:
     doc = lambda f: lambda s, d: f(_docs(s, d))
     made = lambda f: lambda s, d: f(_made(s, d), "doc_id", F.col("body"))
@@ -210,7 +237,8 @@ def queries() -> dict:
         "chunk_documents": lambda s, d: chunking.chunk_documents(_docs(s, d)), "chunk_by_tokens": lambda s, d: chunking.chunk_documents(_docs(s, d), by_tokens=True),
         "chunk_single_small_docs": lambda s, d: chunking.chunk_documents(_docs(s, d).where(F.octet_length("body") <= chunking.CHUNK_BYTES)),
         "best_chunk_keyword": best_chunks, "mock_embedding": mock_embeddings, "format_embedding_text": formatted, "expand_parse_output": expansions, "expand_fallback": fallback,
-        "rerank_cache_key": cache_keys, "rerank_mock_cached": rerank_cached, "hybrid_query_mock": hybrid_mock,
+        "rerank_cache_key": cache_keys, "rerank_mock_cached": rerank_cached, "hybrid_query_mock": hybrid_mock, "structured_search_mock": structured_mock,
+        "bm25_porter": lambda s, d: ft.search(s, _docs(s, d), [(1, "edition"), (2, "thing -was")], stem=True),
         "metrics_precision_recall_mrr_f1": scores, "bench_summary": lambda s, d: metrics.summary(scores(s, d), "backend"), "hit_at_k": lambda s, d: metrics.hit_rates(scores(s, d), "query_id"),
         "hits_csv_line": _sink("csv"), "hits_files_line": _sink("files"), "hits_md": _sink("md"), "hits_xml": _sink("xml"),
     }
@@ -270,7 +298,7 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS
         "rerank_mock_cached": f"""WITH q AS (SELECT {w(3)} AS query FROM benchmark WHERE item_id < 6), d AS (SELECT doc_id, left(text, 400) AS chunk FROM documents WHERE doc_id % 20 = 0), c AS (SELECT DISTINCT chunk FROM d WHERE doc_id % 40 = 0),
 x AS (SELECT doc_id, query, chunk, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: length(t) > 1) AS ws FROM d, q)
 SELECT doc_id, query, CASE WHEN chunk IN (SELECT chunk FROM c) THEN 0.5::DOUBLE ELSE round(CASE WHEN len(ws) = 0 THEN 0 ELSE len(list_filter(ws, lambda t: contains(lower(chunk), t)))::DOUBLE / len(ws) END, 6) END AS rerank, chunk IN (SELECT chunk FROM c) AS cached FROM x""",
-        "hybrid_query_mock": _hybrid_sql(),
+        "hybrid_query_mock": _hybrid_sql(), "structured_search_mock": _structured_sql(),
         "metrics_precision_recall_mrr_f1": f"{_SCORES} SELECT * FROM sc",
         "bench_summary": f"{_SCORES} SELECT backend, count(*) AS queries, round(avg(precision_at_k), 6) AS avg_precision_at_k, round(avg(recall), 6) AS avg_recall, round(avg(mrr), 6) AS avg_mrr, round(avg(f1), 6) AS avg_f1 FROM sc GROUP BY 1",
         "hit_at_k": f"{_SCORES} SELECT query_id, round(avg((recall_at_1 > 0)::INT), 6) AS hit_at_1, round(avg((recall_at_3 > 0)::INT), 6) AS hit_at_3, round(avg((recall_at_5 > 0)::INT), 6) AS hit_at_5 FROM sc GROUP BY 1",

@@ -59,6 +59,20 @@ def test_bm25_is_what_sqlite_computes(spark):
         assert all(math.isclose(got[k][d], want[d], rel_tol=1e-9) for d in want)
 
 
+def test_porter_is_what_sqlite_does(spark):
+    from quillspark.functions.stemming import porter
+
+    words = "caresses ponies caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky relational conditional rational valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic adjustable defensible irritant replacement adjustment dependent adoption homologou communism activate angulariti homologous effective bowdlerize probate rate cease controll roll yes by say running connection generalizations oscillators".split()
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(x, tokenize='porter unicode61')")
+    con.execute("create virtual table v using fts5vocab(t, 'row')")
+    for w in words:
+        con.execute("delete from t")
+        con.execute("insert into t values (?)", (w,))
+        assert con.execute("select term from v").fetchall() == [(porter(w),)], w
+    assert fulltext.search(spark, spark.createDataFrame([(1, "c", "p", "t", "h" * 8, "running connections", True)], "doc_id long, collection string, path string, title string, hash string, body string, active boolean"), [(1, "run connected")], stem=True).count() == 1
+
+
 def test_query_language():
     shape = lambda q: [(x.tokens, x.prefix, x.negated) for x in ql.parse_lexical(q)]
     assert shape('Café -"two words" multi-agent don\'t') == [(("cafe",), True, False), (("two", "words"), False, True), (("multi", "agent"), False, False), (("don", "t"), True, False)]

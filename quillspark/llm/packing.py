@@ -25,8 +25,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces a shard holds on average.  More pieces to choose from waste less; each shard leaves at most a few bins part-filled.
 SHARD_PIECES = 16_384
-#: Distinct words whose ids a worker remembers; beyond it starts anew.
-CACHE_WORDS = 800_000
+#: Distinct words whose ids a worker remembers; beyond that it forgets all but those it met first, frequent words among them.
+CACHE_WORDS, CACHE_KEPT = 1_000_000, 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -80,7 +80,8 @@ def token_bytes(text: str, path: str) -> bytes:
         return b"".join(map(known.__getitem__, words))
     except KeyError:
         if len(known) > CACHE_WORDS:
-            known.clear()
+            for w in list(known)[CACHE_KEPT:]:
+                del known[w]
         _learn({w for w in words if w not in known}, known, tokenizer)
         return b"".join(map(known.__getitem__, words))
 

@@ -70,3 +70,22 @@ def test_em_finds_reliabilities():
 def test_empty_table_and_other_columns(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, base string")
     assert pii.train(docs) is None and pii.find(docs, None).count() == 0
+
+
+PLANTED = [
+    ("my ssn is ", "123-45-6789", ", thanks"), ("as 219-09-9999 says: ", "078-05-1120", " too"), ("passport number: ", "X1234567", "."), ("passport ", "C01X00T47", " was shown"),
+    ("account = ", "4471902", "; and"), ("account number is ", "12-345-678", " now"), ("password: ", "correcthorse", " is set"), ('password = "', "s!lent&River", '" end'), ("pwd=", "hunter2", "\nnext"),
+    ("pay to ", "DE89 3704 0044 0532 0130 00", " soon"), ("iban ", "GB82 WEST 1234 5698 7654 32", "."),
+]
+
+
+def test_short_and_grouped_secrets(spark, tmp_path):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect()]
+    kept = [(10**6 + k, "so then " + a + m + z) for k, (a, m, z) in enumerate(PLANTED)]
+    clean = [(2 * 10**6 + k, t) for k, t in enumerate(("on 2024-01-15 we met", "the key is under the mat", "key: major", "rooms 12 34 56 are free", "a token of thanks", "DE12 3704 0044 0532 0130 00 fails its check", "call 555-7209"))]
+    spark.createDataFrame(docs + kept + clean, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("secret")} for r in pii.op9_pii(spark, str(tmp_path)).collect()}
+    for k, (a, m, _) in enumerate(PLANTED):
+        at = len("so then " + a)
+        assert (at, at + len(m)) in got[10**6 + k], (a, m, got[10**6 + k])
+    assert {t: got[d] for d, t in clean if got[d]} == {}

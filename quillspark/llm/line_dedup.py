@@ -1,42 +1,43 @@
 """Line de-duplication: one line stays of each group of equal and nearly equal lines.
 
-Equal lines (case and white space at their ends aside) meet first, by a group-by.  Distinct
-lines get MinHash sketches of character shingles; lines that agree in a band
-are candidates, and their exact Jaccard similarity decides.  Linked lines form
-components by distributed union-find.  Everything is DataFrame expressions.
+Lines (case and white space at their ends aside) are known by a 64-bit hash.
+A line's MinHash signature is the least hashes of its character shingles; two
+neighbours among them make a band, and lines that share a band are candidates.
+Sizes and wider signatures sift them, the exact Jaccard similarity decides,
+and distributed union-find joins linked lines.  Everything is DataFrame
+expressions.
+
+Within a band nobody is compared with everybody.  The most frequent line is
+the band's center and meets all others.  Two lines near the center that are
+similar to each other, but not both to the center, must differ from it by
+mostly the same shingles: they meet by bands of those differences.  Only lines
+far from their center meet the band's other lines, by classes of size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import let, read_table, staged
 from .components import connected_components
 
 SHINGLE_CHARS = 8
 SIMILARITY = 0.8
-#: Signatures take so many characters from each word's start on; with fewer starts than one in SPARSE characters, shingles from every character.
-START_CHARS, SPARSE = 20, 24
-#: Before texts are compared, so many of their least shingle hashes are, and so many have to agree.
-SKETCH, SHARED = 16, 8
+#: A line of at least WORDY words is signed by the shingles at its word starts, one of fewer than WORDS by all shingles; between the two, by both.
+WORDY, WORDS = 26, 40
+#: A line of fewer word starts than one in SPARSE characters is signed by all shingles, too.
+SPARSE = 24
+#: A band is two neighbours among a line's least hashes; so many bands of each kind.
+BANDS = 8
+#: Before texts are compared, so many of their least shingle hashes are.  Their agreement may fall short of what a similarity lets expect by SLACK (3.5 standard deviations at 0.8).
+SKETCH, SLACK = 96, 0.11
+#: Lines that by their sketches may be so similar to their center are near it, and compared with it exactly.
+NEAR = 0.6
+#: Of the shingles in which a line differs from its center so many least hashes are kept, and so many serve as bands; the agreement may fall short by TURN_SLACK (2.5 standard deviations at a third).
+TURNS, TURN_BANDS, TURN_SLACK = 32, 12, 0.2
 #: Candidate lines and removed lines up to this many are broadcast (some ten bytes each); more meet by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: A band is two neighbours among a line's least hashes; so many bands.
-BANDS = 6
-#: Of more distinct shingles, only hashes in the lowest sixteenth are sorted; the least are among them (but in one of e^40 lines).
-LONG_LINE, LOW_HASH = 1024, -(2**63) + 2**60
-_SIGN = -(2**63)
-#: Before texts are compared, so many of their least shingle hashes are, and so many have to agree.
-SKETCH, SHARED = 16, 8
-#: Candidate lines and removed lines up to this many are broadcast (some ten bytes each); more meet by a shuffle.
-BROADCAST_ROWS = 1_000_000
-#: The hash range is cut into 2^BIN_BITS bins, whose least hashes are the signature; a band is so many bins.
-BIN_BITS, BAND_BITS = 5, 2
-BANDS = 2 ** (BIN_BITS - BAND_BITS)
-#: Lines of more distinct shingles drop, before they sort, hashes that cannot be least in their bins (but in one of e^30 lines).
-LONG_LINE = 1024
 
 
 def normalised(line: Column) -> Column:
@@ -54,79 +55,75 @@ def shingle_hashes(line: Column, size: int = SHINGLE_CHARS) -> Column:
     return let(F.encode(line, "UTF-16BE"), windows)
 
 
-def signature_hashes(line: Column) -> Column:
-    """Hashes of the character shingles that sketches are made of: START_CHARS characters from word starts on.
-
-    Words whose hash leaves 0 by four come first in the order of the hashes
-    (theirs are negative), so most lines need no shingles of other words.
-    """
-
-    def shingle(words: Column, i: Column) -> Column:
-        return F.xxhash64(F.substring(F.array_join(F.slice(words, i, 4), " "), 1, START_CHARS))
-
-    def picked(w: Column) -> Column:
-        return F.xxhash64(w).bitwiseAND(F.lit(3)) == 0
-
-    def all_of(words: Column) -> Column:
-        return F.transform(words, lambda w, i: let(shingle(words, i + 1), lambda h: F.when(picked(w), h.bitwiseOR(F.lit(_SIGN))).otherwise(h.bitwiseAND(F.lit(~_SIGN)))))
-
-    def starts(words: Column) -> Column:
-        at = F.filter(F.transform(words, lambda w, i: F.when(picked(w), i + 1)), lambda i: i.isNotNull())
-        first = F.array_distinct(F.transform(at, lambda i: shingle(words, i).bitwiseOR(F.lit(_SIGN))))
-        return let(first, lambda x: F.when(F.size(x) > BANDS, x).otherwise(all_of(words)))
-
-    def of(words: Column) -> Column:
-        return F.when(F.size(words) * SPARSE < F.length(line), shingle_hashes(line)).otherwise(starts(words))
-
-    return let(F.split(line, " ", -1), of)
+def word_starts(line: Column, size: int = SHINGLE_CHARS) -> Column:
+    """The windows of ``size`` characters that begin a word."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?:^| )(?=([^ ].{{{size - 1}}}))"), F.lit(1))
 
 
 def band_keys(hashes: Column) -> Column:
-    """A key for each band: hashes of two neighbours in the sorted sketch of a line's BANDS + 1 least hashes (of the one, if it is alone).
+    """A key for each two neighbours in the sorted BANDS + 1 least of ``hashes`` (for the one, if it is alone).
 
     For two lines of similarity J, two hashes that are neighbours in either
-    sketch are so in both with a chance of about J squared.
+    signature are so in both with a chance of about J squared.
     """
 
-    def least(d: Column) -> Column:
-        few = F.when(F.size(d) > LONG_LINE, F.filter(d, lambda x: x < F.lit(LOW_HASH))).otherwise(d)
-        return F.slice(F.array_sort(few), 1, BANDS + 1)
+    def least(s: Column) -> Column:
+        few = F.array_distinct(F.slice(s, 1, 4 * (BANDS + 1)))
+        enough = (F.size(few) > BANDS) | (F.size(s) <= 4 * (BANDS + 1))
+        return F.slice(F.when(enough, few).otherwise(F.array_distinct(s)), 1, BANDS + 1)
 
     def keys(s: Column) -> Column:
         pairs = F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, BANDS), lambda a, b: F.xxhash64(a, b))
         return F.when(F.size(s) > 1, pairs).otherwise(s)
 
-    return let(let(F.array_distinct(hashes), least), keys)
+    return let(let(F.sort_array(hashes), least), keys)
+
+
+def bands(line: Column) -> Column:
+    """The bands of a line: of its word starts if they are many, of all shingles if they are few."""
+    none = F.array().cast("array<bigint>")
+
+    def of(starts: Column) -> Column:
+        n = F.size(starts)
+        some = F.when(n >= WORDY, band_keys(F.transform(starts, lambda w: F.xxhash64(w)))).otherwise(none)
+        every = F.when((n < WORDS) | (n * SPARSE < F.length(line)), band_keys(shingle_hashes(line))).otherwise(none)
+        return F.concat(some, every)
 
+    return let(word_starts(line), of)
 
-def jaccard(a: Column, b: Column, size: int = SHINGLE_CHARS) -> Column:
-    """The exact Jaccard similarity of two lines' sets of shingle hashes."""
 
-    def of(x: Column, y: Column) -> Column:
-        return let(F.size(F.array_intersect(x, y)), lambda both: both / (F.size(x) + F.size(y) - both))
+def distinct_shingles(line: Column, size: int = SHINGLE_CHARS) -> Column:
+    return F.array_distinct(shingle_hashes(line, size))
 
-    return let(F.array_distinct(shingle_hashes(a, size)), lambda x: let(F.array_distinct(shingle_hashes(b, size)), lambda y: of(x, y)))
 
+def jaccard(x: Column, y: Column) -> Column:
+    """The Jaccard similarity of two arrays without repeats."""
+    return let(F.size(F.array_intersect(x, y)), lambda both: both / (F.size(x) + F.size(y) - both))
 
-def facts_of(hashes: Column) -> Column:
-    """How many shingles a line has, and 16 bits of each of its SKETCH least hashes: enough to pass over most pairs without their texts."""
-    least = F.transform(F.slice(F.array_sort(hashes), 1, SKETCH), lambda h: F.shiftright(F.shiftleft(h, 32), 48).cast("short"))
-    return F.struct(F.size(hashes).alias("n"), F.array_distinct(least).alias("least"))
 
+def sketch_of(hashes: Column) -> Column:
+    """16 bits of each of the SKETCH least hashes."""
+    return F.array_distinct(F.transform(F.slice(F.sort_array(hashes), 1, SKETCH), lambda h: F.shiftright(F.shiftleft(h, 32), 48).cast("short")))
 
-def could_be_similar(a: Column, b: Column, similarity: float) -> Column:
-    """Whether two lines may be similar enough: their numbers of shingles allow it (exact), and at least SHARED of their least hashes agree.
 
-    Of two lines at similarity 0.8 some 14 of 16 agree; fewer than SHARED do
-    in about one of a thousand such pairs.
+def could_reach(n: Column, m: Column, one: Column, two: Column, similarity: float, slack: float) -> Column:
+    """Whether lines of ``n`` and ``m`` shingles may be so similar: by their sizes (exact), then by how many hashes their sketches share.
+
+    At similarity J lines share J / (1 + J) of their shingles together, and
+    their sketches as large a part of the larger line.
     """
-    sizes = F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"])
-    few = F.least(F.size(a["least"]), F.size(b["least"])) * SHARED / SKETCH
-    return sizes & (F.size(F.array_intersect(a["least"], b["least"])) >= few)
+    most = F.greatest(n, m)
+    expected = similarity / (1 + similarity) * (n + m) / most - slack
+    return (F.least(n, m) >= similarity * most) & (F.size(F.array_intersect(one, two)) >= expected * F.least(F.size(one), F.size(two)))
+
+
+def line_marks(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, content, pos, id, bands) for each line that holds a word; content tells rows with one id apart, id is a hash of the line."""
+    return lines_of(documents, text, key).select("doc_id", "content", "pos", F.xxhash64("line").alias("id"), bands(F.col("line")).alias("bands"))
 
 
 def lines_of(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, content, pos, line) for each line that holds a word; content tells rows with one id apart."""
+    """(doc_id, content, pos, line) for each line that holds a word."""
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
     return rows.withColumn("line", normalised(F.col("line"))).where("line <> ''")
 
@@ -136,40 +133,98 @@ def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose lines are similar enough."""
-    one = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-    return pairs.join(one, "a").join(two, "b").where(jaccard(F.col("line_a"), F.col("line_b")) >= similarity).select("a", "b")
+def _as(df: DataFrame, end: str, *columns: str) -> DataFrame:
+    """``columns`` of ``df``, named for one end of a pair."""
+    return df.select(*[F.col(c).alias(f"{c}_{end}") for c in columns])
+
+
+def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (id_a, id_b) with ``columns`` of ``table`` for either end."""
+    for end in "ab":
+        pairs = pairs.join(_as(table, end, "id", *columns), f"id_{end}")
+    return pairs
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose lines are similar enough."""
+    alike = jaccard(distinct_shingles(F.col("line_a")), distinct_shingles(F.col("line_b"))) >= similarity
+    return _both(pairs.select("id_a", "id_b").distinct(), texts, "line").where(alike).select("id_a", "id_b")
+
+
+def _shared_bands(marks: DataFrame) -> DataFrame:
+    """(band, id, center) for each band of several lines; the center is the most frequent of them."""
+    kinds = staged(marks.groupBy("id", "bands").agg(F.count("*").alias("n")), "lines")
+    placed = kinds.select(F.explode("bands").alias("band"), "id", "n")
+    crowded = staged(placed.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band"), "band-sizes")
+    shared = staged(placed.join(_small(crowded), "band"), "bands")
+    # a maximum of one number combines before the shuffle; lines that tie in it are settled by the least id
+    rank = F.shiftleft(F.least("n", F.lit(2**20 - 1)), 43).bitwiseOR(F.col("id").bitwiseAND(F.lit(2**43 - 1)))
+    top = shared.groupBy("band").agg(F.max(rank).alias("rank"))
+    center = shared.withColumn("rank", rank).join(top, ["band", "rank"]).groupBy("band").agg(F.min("id").alias("center"))
+    return shared.select("band", "id").join(center, "band")
+
+
+def _met_centers(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(center, id, n, linked, differing, turns) for each line near a center: whether they are similar, and in how many and which shingles they differ."""
+    pairs = shared.where("id <> center").select(F.col("center").alias("id_a"), F.col("id").alias("id_b")).distinct()
+    pairs = _both(pairs, texts, "n", "sketch").where(could_reach(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), NEAR, 0))
+    found = _both(pairs.select("id_a", "id_b", "n_b"), texts, "line")
+
+    def met(c: Column, x: Column) -> Column:
+        least = lambda s: F.transform(F.slice(F.sort_array(s), 1, TURNS), lambda h: F.shiftright(h, 32).cast("int"))
+        return let(F.concat(F.array_except(x, c), F.array_except(c, x)), lambda s: F.struct((jaccard(c, x) >= similarity).alias("linked"), F.size(s).alias("differing"), least(s).alias("turns")))
+
+    got = let(distinct_shingles(F.col("line_a")), lambda c: let(distinct_shingles(F.col("line_b")), lambda x: met(c, x)))
+    return found.select(F.col("id_a").alias("center"), F.col("id_b").alias("id"), F.col("n_b").alias("n"), got.alias("m")).select("center", "id", "n", "m.*")
 
 
-def line_components(documents: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Distinct lines that do not stay where they are first met: (id, component).
+def _alike_beside_centers(near: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of lines near one center that may be similar, though not both to the center.
 
-    A line's id is a 64-bit hash of it.  In a band the most frequent line is
-    compared with all others; whoever is then in different components but
-    shares a band is compared pair by pair, so no link inside a band is lost.
+    With S the shingles in which a line differs from its center, lines a and b
+    differ in those in just one of S(a) and S(b).  For disjoint ones that is
+    too many unless both lines are similar to the center.  So one of the two
+    is not, S(a) and S(b) share what their sizes tell, and some of their least
+    hashes are the same.
     """
-    distinct = lines_of(documents, text, key).groupBy("line").agg(F.count("*").alias("n"))
-    distinct = staged(distinct.select(F.xxhash64("line").alias("id"), "line", "n", band_keys(signature_hashes(F.col("line"))).alias("bands")), "lines")
-    band = Window.partitionBy("band")
-    placed = distinct.select(F.explode("bands").alias("band"), "id", "n")
-    shared = placed.withColumn("center", F.max(F.struct("n", "id")).over(band)).withColumn("many", F.count("*").over(band)).where("many > 1")
-    shared = staged(shared.select("band", "id", F.col("center.id").alias("center")), "bands")
+    odd = near.where("not linked").select("center").distinct()
+    turns = near.join(odd, "center", "left_semi").withColumn("turn", F.explode(F.slice("turns", 1, TURN_BANDS)))
+    one, two = (_as(turns, end, "center", "turn", "id", "n", "linked", "differing", "turns") for end in "ab")
+    most = (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
+    both = F.greatest((F.col("differing_a") + F.col("differing_b") - most) / 2, F.lit(0))
+    expected = both / (F.col("differing_a") + F.col("differing_b") - both) - TURN_SLACK
+    may = F.size(F.array_intersect("turns_a", "turns_b")) >= expected * F.least(F.size("turns_a"), F.size("turns_b"))
+    meet = (F.col("center_a") == F.col("center_b")) & (F.col("turn_a") == F.col("turn_b"))
+    return one.where("not linked_a").join(two, meet & (F.col("linked_b") | (F.col("id_a") < F.col("id_b"))) & may).select("id_a", "id_b").distinct()
+
+
+def _alike_far_from_centers(shared: DataFrame, near: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of lines in one band that may be similar, one of which is far from the band's center."""
+    met = shared.join(near.select("center", "id", "linked"), ["center", "id"], "left").withColumn("far", F.col("linked").isNull() & (F.col("id") != F.col("center")))
+    met = met.select("band", "id", "center", "far", F.when(F.col("linked"), F.col("center")).otherwise(F.col("id")).alias("group"))
+    some = met.groupBy("band").agg(F.max("far").alias("any"), F.count("*").alias("many")).where("any and many > 2").select("band")
+    size_class = F.floor(F.log(F.col("n")) / -F.log(F.lit(similarity)))
+    met = met.join(some, "band", "left_semi").join(texts.select("id", "n", "sketch"), "id").withColumn("class", size_class)
+    one, two = (_as(met, end, "band", "id", "center", "far", "group", "n", "sketch", "class") for end in "ab")
+    two = two.where("id_b <> center_b").withColumn("class_b", F.explode(F.array(F.col("class_b") - 1, F.col("class_b"), F.col("class_b") + 1)))
+    meet = (F.col("band_a") == F.col("band_b")) & (F.col("class_a") == F.col("class_b")) & (F.col("group_a") != F.col("group_b"))
+    may = could_reach(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), similarity, SLACK)
+    return one.where("far_a").join(two, meet & (~F.col("far_b") | (F.col("id_a") < F.col("id_b"))) & may).select("id_a", "id_b").distinct()
+
+
+def line_components(documents: DataFrame, marks: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(node, component) for each distinct line, known by its id, that is linked to another; ``marks`` are those of ``documents``."""
+    shared = staged(_shared_bands(marks), "shared-bands")
     wanted = staged(shared.select("id").distinct(), "candidate-ids")
-    texts = distinct.select("id", "line").join(_small(wanted), "id", "left_semi")
-    texts = staged(texts.select("id", "line", let(F.array_distinct(shingle_hashes(F.col("line"))), facts_of).alias("facts")), "candidates")
-    member = staged(shared.join(texts.select("id", "facts"), "id"), "members")
-    centers = member.where("id = center").select("band", F.col("facts").alias("facts2"))
-    stars = member.where("id <> center").join(centers, (member.band == centers.band) & could_be_similar(F.col("facts"), F.col("facts2"), similarity))
-    stars = stars.select(F.greatest("id", "center").alias("a"), F.least("id", "center").alias("b")).distinct()
-    linked = staged(_verified(stars, texts, similarity), "links")
-    named = staged(connected_components(linked), "star-components")
-    member = member.where("id <> center").join(named.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "facts", F.coalesce("component", "id").alias("component"))
-    other = member.select(F.col("band").alias("band2"), F.col("id").alias("id2"), F.col("facts").alias("facts2"), F.col("component").alias("component2"))
-    apart = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & could_be_similar(F.col("facts"), F.col("facts2"), similarity)
-    rest = member.join(other, (F.col("band") == F.col("band2")) & apart).select(F.col("id2").alias("a"), F.col("id").alias("b")).distinct()
-    return connected_components(linked.unionByName(_verified(rest, texts, similarity)))
+    lines = lines_of(documents, text, key).select(F.xxhash64("line").alias("id"), "line").join(_small(wanted), "id", "left_semi")
+    facts = let(distinct_shingles(F.col("line")), lambda h: F.struct(F.size(h).alias("n"), sketch_of(h).alias("sketch")))
+    texts = staged(lines.groupBy("id", "line").agg(F.lit(1)).select("id", "line", facts.alias("f")).select("id", "line", "f.*"), "candidates")
+    near = staged(_met_centers(shared, texts, similarity), "near-centers")
+    rest = _alike_beside_centers(near, similarity)
+    far = _alike_far_from_centers(shared, near, texts, similarity)
+    links = near.where("linked").select(F.col("center").alias("a"), F.col("id").alias("b"))
+    more = _linked(staged(rest.unionByName(far).distinct(), "sifted-pairs"), texts, similarity)
+    return connected_components(links.unionByName(more.toDF("a", "b")))
 
 
 def removed_lines(documents: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -178,13 +233,15 @@ def removed_lines(documents: DataFrame, similarity: float = SIMILARITY, text: st
     Of each component the line with the least (doc_id, content, position)
     stays, ids before null; all its other copies go.
     """
-    named = line_components(documents, similarity, text, key)
-    lines = lines_of(documents, text, key).select("doc_id", "content", "pos", F.xxhash64("line").alias("id"))
-    lines = lines.join(named.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
-    lines = staged(lines.select("doc_id", "content", "pos", "group"), "line-groups")
-    first = lines.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    marks = staged(line_marks(documents, text, key), "line-marks")
+    named = staged(line_components(documents, marks, similarity, text, key), "line-components")
+    lines = marks.select("doc_id", "content", "pos", "id").join(_small(named.withColumnRenamed("node", "id")), "id", "left")
+    lines = lines.select("doc_id", "content", "pos", F.coalesce("component", "id").alias("group"))
+    many = lines.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    lines = staged(lines.join(many, "group", "left_semi"), "repeated-lines")
+    first = lines.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "pos")).alias("first"))
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.content") == F.col("content")) & (F.col("first.pos") == F.col("pos"))
-    gone = lines.join(first.select("group", "first"), "group").where(~stays)
+    gone = lines.join(first, "group").where(~stays)
     return gone.groupBy("doc_id", "content").agg(F.collect_set("pos").alias("positions"))
 
 

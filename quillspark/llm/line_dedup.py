@@ -10,8 +10,9 @@ expressions.
 Within a band nobody is compared with everybody.  The most frequent line is
 the band's center and meets all others.  Two lines near the center that are
 similar to each other, but not both to the center, must differ from it by
-mostly the same shingles: they meet by bands of those differences.  Only lines
-far from their center meet the band's other lines, by classes of size.
+mostly the same shingles: they meet by bands of those differences.  Where most
+are not similar to the center, what most of them share takes its place.  Only
+lines far from their center meet the band's other lines, by classes of size.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .components import connected_components
 
 SHINGLE_CHARS = 8
 SIMILARITY = 0.8
+#: Signatures are of longer shingles, which fewer unlike lines share: at similarity 0.8 in shingles of 8 it is some 0.71 in those of 12.
+SIGNED_CHARS = 12
 #: A line of at least WORDY words is signed by the shingles at its word starts, one of fewer than WORDS by all shingles; between the two, by both.
 WORDY, WORDS = 26, 40
 #: A line of fewer word starts than one in SPARSE characters is signed by all shingles, too.
@@ -34,6 +37,8 @@ BANDS = 8
 SKETCH, SLACK = 96, 0.11
 #: Lines that by their sketches may be so similar to their center are near it, and compared with it exactly.
 NEAR = 0.6
+#: Groups of so many lines, most of them not similar to their center, are looked at from their core.
+CROWD = 16
 #: Of the shingles in which a line differs from its center so many least hashes are kept, and so many serve as bands; the agreement may fall short by TURN_SLACK (2.5 standard deviations at a third).
 TURNS, TURN_BANDS, TURN_SLACK = 32, 12, 0.2
 #: Candidate lines and removed lines up to this many are broadcast (some ten bytes each); more meet by a shuffle.
@@ -55,7 +60,7 @@ def shingle_hashes(line: Column, size: int = SHINGLE_CHARS) -> Column:
     return let(F.encode(line, "UTF-16BE"), windows)
 
 
-def word_starts(line: Column, size: int = SHINGLE_CHARS) -> Column:
+def word_starts(line: Column, size: int = SIGNED_CHARS) -> Column:
     """The windows of ``size`` characters that begin a word."""
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?:^| )(?=([^ ].{{{size - 1}}}))"), F.lit(1))
 
@@ -86,7 +91,7 @@ def bands(line: Column) -> Column:
     def of(starts: Column) -> Column:
         n = F.size(starts)
         some = F.when(n >= WORDY, band_keys(F.transform(starts, lambda w: F.xxhash64(w)))).otherwise(none)
-        every = F.when((n < WORDS) | (n * SPARSE < F.length(line)), band_keys(shingle_hashes(line))).otherwise(none)
+        every = F.when((n < WORDS) | (n * SPARSE < F.length(line)), band_keys(shingle_hashes(line, SIGNED_CHARS))).otherwise(none)
         return F.concat(some, every)
 
     return let(word_starts(line), of)
@@ -164,18 +169,47 @@ def _shared_bands(marks: DataFrame) -> DataFrame:
     return shared.select("band", "id").join(center, "band")
 
 
-def _met_centers(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(center, id, n, linked, differing, turns) for each line near a center: whether they are similar, and in how many and which shingles they differ."""
+def _differing(x: Column, y: Column) -> Column:
+    """In how many shingles two lines differ, and the least hashes of these."""
+    least = lambda s: F.transform(F.slice(F.sort_array(s), 1, TURNS), lambda h: F.shiftright(h, 32).cast("int"))
+    return let(F.concat(F.array_except(x, y), F.array_except(y, x)), lambda s: F.struct(F.size(s).alias("differing"), least(s).alias("turns")))
+
+
+def _met(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(id_a, id_b, linked, differing, turns) of each pair: whether its lines are similar, in how many and which shingles they differ."""
+    both = lambda x, y: F.struct((jaccard(x, y) >= similarity).alias("linked"), _differing(x, y).alias("s"))
+    got = let(distinct_shingles(F.col("line_a")), lambda x: let(distinct_shingles(F.col("line_b")), lambda y: both(x, y)))
+    return _both(pairs, texts, "line").select("id_a", "id_b", got.alias("m")).select("id_a", "id_b", "m.linked", "m.s.*")
+
+
+def _near_centers(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(center, id, n, linked, differing, turns) for each line near a center."""
     pairs = shared.where("id <> center").select(F.col("center").alias("id_a"), F.col("id").alias("id_b")).distinct()
     pairs = _both(pairs, texts, "n", "sketch").where(could_reach(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), NEAR, 0))
-    found = _both(pairs.select("id_a", "id_b", "n_b"), texts, "line")
+    near = _met(pairs.select("id_a", "id_b"), texts, similarity).select(F.col("id_a").alias("center"), F.col("id_b").alias("id"), "linked", "differing", "turns")
+    return near.join(texts.select("id", "n"), "id")
 
-    def met(c: Column, x: Column) -> Column:
-        least = lambda s: F.transform(F.slice(F.sort_array(s), 1, TURNS), lambda h: F.shiftright(h, 32).cast("int"))
-        return let(F.concat(F.array_except(x, c), F.array_except(c, x)), lambda s: F.struct((jaccard(c, x) >= similarity).alias("linked"), F.size(s).alias("differing"), least(s).alias("turns")))
 
-    got = let(distinct_shingles(F.col("line_a")), lambda c: let(distinct_shingles(F.col("line_b")), lambda x: met(c, x)))
-    return found.select(F.col("id_a").alias("center"), F.col("id_b").alias("id"), F.col("n_b").alias("n"), got.alias("m")).select("center", "id", "n", "m.*")
+def _around_cores(near: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The groups of ``near`` most of whose lines are not similar to their center, looked at from their core; and the links found so.
+
+    The core has the shingles of more than half of the lines.  The line that
+    differs least from it is the group's new center, and ``linked`` and the
+    differences are from now on meant for this line and for the core.
+    """
+    sizes = near.groupBy("center").agg(F.count("*").alias("many"), F.sum(F.col("linked").cast("int")).alias("close"))
+    poor = sizes.where(f"many >= {CROWD} and 2 * close < many").select("center", "many")
+    lines = staged(near.join(poor, "center").join(texts.select("id", "line"), "id").select("center", "id", "n", "many", distinct_shingles(F.col("line")).alias("shingles")), "odd-groups")
+    common = lines.select("center", "many", F.explode("shingles").alias("h")).groupBy("center", "h", "many").agg(F.count("*").alias("k")).where("2 * k > many")
+    core = common.groupBy("center").agg(F.collect_list("h").alias("core"))  # at most twice as many as a line has
+    seen = lines.join(core, "center").select("center", "id", "n", _differing(F.col("shingles"), F.col("core")).alias("s")).select("center", "id", "n", "s.*")
+    seen = staged(seen, "around-cores")
+    heads = seen.groupBy("center").agg(F.min(F.struct("differing", "id")).alias("x")).select("center", F.col("x.id").alias("head"))
+    seen = seen.join(heads, "center")
+    found = _met(seen.where("id <> head").select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).distinct(), texts, similarity).where("linked").select(F.col("id_a").alias("head"), F.col("id_b").alias("id"))
+    links = staged(found, "core-links")
+    out = seen.join(links.withColumn("linked", F.lit(True)), ["head", "id"], "left").select("center", "id", "n", (F.col("linked").isNotNull() | (F.col("id") == F.col("head"))).alias("linked"), "differing", "turns")
+    return out, links
 
 
 def _alike_beside_centers(near: DataFrame, similarity: float) -> DataFrame:
@@ -185,29 +219,30 @@ def _alike_beside_centers(near: DataFrame, similarity: float) -> DataFrame:
     differ in those in just one of S(a) and S(b).  For disjoint ones that is
     too many unless both lines are similar to the center.  So one of the two
     is not, S(a) and S(b) share what their sizes tell, and some of their least
-    hashes are the same.
+    hashes are the same.  (The same holds for a core and the line that differs
+    least from it.)  Two lines with the same nearest center meet there only.
     """
     odd = near.where("not linked").select("center").distinct()
     turns = near.join(odd, "center", "left_semi").withColumn("turn", F.explode(F.slice("turns", 1, TURN_BANDS)))
-    one, two = (_as(turns, end, "center", "turn", "id", "n", "linked", "differing", "turns") for end in "ab")
+    one, two = (_as(turns, end, "center", "turn", "id", "n", "linked", "differing", "turns", "nearest") for end in "ab")
     most = (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
     both = F.greatest((F.col("differing_a") + F.col("differing_b") - most) / 2, F.lit(0))
     expected = both / (F.col("differing_a") + F.col("differing_b") - both) - TURN_SLACK
     may = F.size(F.array_intersect("turns_a", "turns_b")) >= expected * F.least(F.size("turns_a"), F.size("turns_b"))
-    meet = (F.col("center_a") == F.col("center_b")) & (F.col("turn_a") == F.col("turn_b"))
+    meet = (F.col("center_a") == F.col("center_b")) & (F.col("turn_a") == F.col("turn_b")) & ((F.col("nearest_a") != F.col("nearest_b")) | (F.col("nearest_a") == F.col("center_a")))
     return one.where("not linked_a").join(two, meet & (F.col("linked_b") | (F.col("id_a") < F.col("id_b"))) & may).select("id_a", "id_b").distinct()
 
 
 def _alike_far_from_centers(shared: DataFrame, near: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of lines in one band that may be similar, one of which is far from the band's center."""
+    """Pairs of lines in one band that may be similar, one of which is far from the band's center; lines with the same nearest center have met there."""
+    nearest = near.select("id", "nearest").distinct()
     met = shared.join(near.select("center", "id", "linked"), ["center", "id"], "left").withColumn("far", F.col("linked").isNull() & (F.col("id") != F.col("center")))
-    met = met.select("band", "id", "center", "far", F.when(F.col("linked"), F.col("center")).otherwise(F.col("id")).alias("group"))
     some = met.groupBy("band").agg(F.max("far").alias("any"), F.count("*").alias("many")).where("any and many > 2").select("band")
     size_class = F.floor(F.log(F.col("n")) / -F.log(F.lit(similarity)))
-    met = met.join(some, "band", "left_semi").join(texts.select("id", "n", "sketch"), "id").withColumn("class", size_class)
-    one, two = (_as(met, end, "band", "id", "center", "far", "group", "n", "sketch", "class") for end in "ab")
+    met = met.join(some, "band", "left_semi").join(nearest, "id", "left").join(texts.select("id", "n", "sketch"), "id").withColumn("nearest", F.coalesce("nearest", "id")).withColumn("class", size_class)
+    one, two = (_as(met, end, "band", "id", "center", "far", "nearest", "n", "sketch", "class") for end in "ab")
     two = two.where("id_b <> center_b").withColumn("class_b", F.explode(F.array(F.col("class_b") - 1, F.col("class_b"), F.col("class_b") + 1)))
-    meet = (F.col("band_a") == F.col("band_b")) & (F.col("class_a") == F.col("class_b")) & (F.col("group_a") != F.col("group_b"))
+    meet = (F.col("band_a") == F.col("band_b")) & (F.col("class_a") == F.col("class_b")) & (F.col("nearest_a") != F.col("nearest_b"))
     may = could_reach(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), similarity, SLACK)
     return one.where("far_a").join(two, meet & (~F.col("far_b") | (F.col("id_a") < F.col("id_b"))) & may).select("id_a", "id_b").distinct()
 
@@ -219,12 +254,16 @@ def line_components(documents: DataFrame, marks: DataFrame, similarity: float =
     lines = lines_of(documents, text, key).select(F.xxhash64("line").alias("id"), "line").join(_small(wanted), "id", "left_semi")
     facts = let(distinct_shingles(F.col("line")), lambda h: F.struct(F.size(h).alias("n"), sketch_of(h).alias("sketch")))
     texts = staged(lines.groupBy("id", "line").agg(F.lit(1)).select("id", "line", facts.alias("f")).select("id", "line", "f.*"), "candidates")
-    near = staged(_met_centers(shared, texts, similarity), "near-centers")
-    rest = _alike_beside_centers(near, similarity)
-    far = _alike_far_from_centers(shared, near, texts, similarity)
-    links = near.where("linked").select(F.col("center").alias("a"), F.col("id").alias("b"))
+    near = staged(_near_centers(shared, texts, similarity), "near-centers")
+    odd, core_links = _around_cores(near, texts, similarity)
+    odd = staged(odd, "odd-lines")
+    groups = near.join(odd.select("center").distinct(), "center", "left_anti").unionByName(odd)
+    nearest = groups.groupBy("id").agg(F.min(F.struct("differing", "center")).alias("x")).select("id", F.col("x.center").alias("nearest"))
+    groups = staged(groups.join(nearest, "id"), "groups")
+    rest, far = _alike_beside_centers(groups, similarity), _alike_far_from_centers(shared, groups, texts, similarity)
     more = _linked(staged(rest.unionByName(far).distinct(), "sifted-pairs"), texts, similarity)
-    return connected_components(links.unionByName(more.toDF("a", "b")))
+    links = near.where("linked").select(F.col("center").alias("a"), F.col("id").alias("b"))
+    return connected_components(links.unionByName(core_links.toDF("a", "b")).unionByName(more.toDF("a", "b")))
 
 
 def removed_lines(documents: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,11 +35,13 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and all is on one machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         context = spark.sparkContext
         where = context.getCheckpointDir()
+        if not where and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
         if not where:
             where = tempfile.mkdtemp(prefix="quillspark-")
             context.setCheckpointDir(where)

@@ -24,38 +24,62 @@ from .common import read_table, ship, staged
 from .components import connected_components
 
 SHINGLE_WORDS = 4
-PIPELINE_SHINGLE_WORDS = 5
 RADIUS = 4
+#: Documents of which one stays: shingles of five words, as sets, and their exact similarity.
+SET_SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: Their fingerprints have so many words of 64 bits.  At similarity 0.8 some 19 of 128 bits differ, and more than 32 in one of a thousand pairs.
+WIDE, WIDE_RADIUS = 2, 32
+#: A wide cell is a choice of segments, few enough that so many rows meet in it by chance; there are as many choices as bring RECALL of the pairs at SIMILARITY together.
+CELL_ROWS, RECALL = 64, 0.98
+#: Cells of up to so many rows are compared as a whole.
+SMALL_CELL = 256
 #: Segments of two bits: as many values as matter, and the tightest bound short of the bits themselves.
 SEGMENTS = 32
 _PAIRS_A_ROW = 64
 _LOW = np.uint64(0x5555555555555555)
 #: Rows of a cell compared with the rest of it at a time.
-_BLOCK = 2048
+_BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of ``text``: a bit is set if it is in over half of the hashes of its word shingles, repeats counted.
+def shingle_hashes(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of each word shingle of ``text``; none without words.
 
     A-Z are lower-cased; words are parted by ASCII white space.  A text of
-    fewer words is one shingle, and one without words has fingerprint 0.
+    fewer words is one shingle.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - size + 1)
     hashing = xxhash.xxh64_intdigest
-    counts, many = np.zeros(64, np.int64), 0
-    spans = list(zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist(), strict=True))
-    for k in range(0, n, 8192):
-        h = np.array([hashing(joined[a:b], 42) for a, b in spans[k : k + 8192]], ">u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        many += len(h)
-    bits = np.packbits(2 * counts > many)
-    return int.from_bytes(bits.tobytes(), "big")
+    spans = zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist(), strict=True)
+    return np.fromiter((hashing(joined[a:b], 42) for a, b in spans), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits, each set if it is in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(h), 8192):
+        counts += np.unpackbits(h[k : k + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
+    """The 64-bit SimHash of ``text``: a bit is set if it is in over half of the hashes of its word shingles, repeats counted; 0 without words."""
+    return majority(shingle_hashes(text, size))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> list[int]:
+    """WIDE SimHashes of one set of shingles; all but the first over hashes mixed anew."""
+    out = [majority(shingles)]
+    for k in range(1, WIDE):
+        x = (shingles ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(majority(x ^ (x >> np.uint64(32))))
+    return out
 
 
 def fingerprints(documents: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), size: int = SHINGLE_WORDS) -> DataFrame:
@@ -116,29 +140,33 @@ def cells(fps: DataFrame, blocks: int, radius: int = RADIUS) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "cell long, fp long")
 
 
+def _near(fp: np.ndarray, counts: np.ndarray, i: int, rest: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the rows ``rest`` are within ``radius`` of row ``i``; sifted by Manhattan, verified by Hamming distance."""
+    out = np.zeros(len(rest), bool)
+    near = np.flatnonzero(_manhattan(counts[rest], counts[i]).sum(1) <= radius)
+    out[near[np.bitwise_count(fp[rest[near]] ^ fp[i]).sum(1, dtype=np.int64) <= radius]] = True
+    return out
+
+
 def forest(fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges that connect the rows of one cell as all its pairs within ``radius`` do, fewer than rows."""
-    n = len(fp)
-    parent = np.arange(n)
+    """Edges that connect the rows of one cell as all its pairs within ``radius`` do, fewer than rows.
+
+    A row is compared with those that nothing has reached yet, so a dense
+    group costs about as many comparisons as it has rows.
+    """
+    fp = fp.reshape(len(fp), -1)
     counts = popcounts(fp)
+    unseen = np.arange(len(fp))
     out: list[tuple[int, int]] = []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i in range(n - 1):
-        for k in range(i + 1, n, _BLOCK):
-            rest = slice(k, min(n, k + _BLOCK))
-            near = np.flatnonzero(_manhattan(counts[rest], counts[i]) <= radius)
-            near = near[np.bitwise_count(fp[rest][near] ^ fp[i]) <= radius] + k
-            for j in near.tolist():
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out.append((i, j))
+    while len(unseen) > 1:
+        front, unseen = [int(unseen[0])], unseen[1:]
+        while front and len(unseen):
+            i = front.pop()
+            reached = np.concatenate([_near(fp, counts, i, unseen[k : k + _BLOCK], radius) for k in range(0, len(unseen), _BLOCK)])
+            found = unseen[reached].tolist()
+            out += [(i, j) for j in found]
+            front += found
+            unseen = unseen[~reached]
     return out
 
 
@@ -210,17 +238,154 @@ def components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(classes, "fp")
 
 
+def wide_marks(documents: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id", "content"), size: int = SET_SHINGLE_WORDS) -> DataFrame:
+    """The columns ``carry``, a hash of the row's set of shingles, and the words of its wide fingerprint."""
+    ship(documents.sparkSession)
+    rows = documents.select(F.col(text).alias("__text"), *carry)
+    names = ["shingles", *(f"fp{k}" for k in range(WIDE))]
+    schema = T.StructType([*rows.schema.fields[1:], *(T.StructField(n, T.LongType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = np.empty((len(names), b.num_rows), np.uint64)
+            for i, t in enumerate(b.column(0)):
+                own = np.unique(shingle_hashes(t.as_py(), size))
+                got[:, i] = [xxhash.xxh64_intdigest(own.tobytes()), *wide_fingerprint(own)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(x.view(np.int64)) for x in got)], [*carry, *names])
+
+    return rows.mapInArrow(run, schema)
+
+
+def wide_choices(rows: int, similarity: float = SIMILARITY) -> np.ndarray:
+    """Masks (choice, word) over popcounts: how many segments a cell has follows from ``rows``, how many choices there are from RECALL.
+
+    A bit of two fingerprints differs with the chance acos(cosine) / pi; two
+    bits have equal popcounts if neither differs, or both do in 01 and 10.
+    """
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    equal = (1 - differ) ** 2 + differ**2 / 2
+    size = int(np.clip(np.ceil(np.log2(max(rows, 1) / CELL_ROWS) / 1.5), 4, SEGMENTS))
+    many = int(np.ceil(np.log(1 - RECALL) / np.log(1 - equal**size)))
+    rng = np.random.default_rng(5)
+    out = np.zeros((many, WIDE), np.uint64)
+    for mask in out:
+        for k in rng.choice(SEGMENTS * WIDE, size, replace=False).tolist():
+            mask[k // SEGMENTS] |= np.uint64(3 << (2 * (k % SEGMENTS)))
+    return out
+
+
+def nearest_tree(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges that connect the rows of one cell as all its pairs within ``radius`` do, over the nearest pairs: those most likely similar."""
+    n = len(fp)
+    if n > SMALL_CELL:
+        edges = [e for r in (radius // 3, 2 * radius // 3, radius) for e in forest(fp, r)]
+    else:
+        a, b = np.triu_indices(n, 1)
+        counts = popcounts(fp)
+        near = np.flatnonzero(_manhattan(counts[a], counts[b]).sum(1) <= radius)
+        a, b = a[near], b[near]
+        far = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64)
+        order = np.argsort(far, kind="stable")
+        order = order[far[order] <= radius]
+        edges = list(zip(a[order].tolist(), b[order].tolist(), strict=True))
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i, j in edges:
+        x, y = root(i), root(j)
+        if x != y:
+            parent[x] = y
+            out.append((i, j))
+    return out
+
+
+def wide_links(classes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """Pairs (a, b) of classes (shingles, fp0, ..) that may be similar: the nearest ones that connect each grid cell."""
+    ship(classes.sparkSession)
+    masks = wide_choices(classes.count())
+    names = [f"fp{k}" for k in range(WIDE)]
+    schema = f"cell long, shingles long, {', '.join(f'{n} long' for n in names)}"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = popcounts(np.stack([b.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1))
+            for i, mask in enumerate(masks):
+                cell = np.full(len(counts), i * 0x632BE59BD9B4E019 & (2**64 - 1), np.uint64)
+                for word in ((counts & mask) + np.uint64(1)).T:
+                    cell = (cell ^ word) * np.uint64(0x9E3779B97F4A7C15)
+                    cell ^= cell >> np.uint64(29)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), b.column("shingles"), *(b.column(n) for n in names)], ["cell", "shingles", *names])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last cell of the batches before
+
+        def solve(rows: pa.Table) -> pa.RecordBatch:
+            cell, node = rows["cell"].to_numpy(), rows["shingles"].to_numpy()
+            fp = np.stack([rows[n].to_numpy().view(np.uint64) for n in names], axis=1)
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+            got = [(node[a + i], node[a + j]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b - a > 1 for i, j in nearest_tree(fp[a:b], radius)]
+            pairs = np.array(got, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs.min(1) if len(pairs) else pairs[:, 0]), pa.array(pairs.max(1) if len(pairs) else pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(cell, cell[-1]))
+            if last or (held and held[0].column("cell")[0].as_py() != cell[0]):
+                yield solve(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    placed = classes.select("shingles", *names).mapInArrow(place, schema)
+    return placed.repartition("cell").sortWithinPartitions("cell", *names).mapInArrow(meet, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, size: int = SET_SHINGLE_WORDS) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``texts`` (shingles, text) have that Jaccard similarity of shingle sets."""
+    ship(pairs.sparkSession)
+    one, two = (texts.select(F.col("shingles").alias(e), F.col("text").alias(f"text_{e}")) for e in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+                x, y = np.unique(shingle_hashes(x.as_py(), size)), np.unique(shingle_hashes(y.as_py(), size))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component of ``docs``, the one that names it; shingles are of five words.
+    """Pipeline stage: one document stays of each group of ``docs`` linked by a Jaccard similarity of 0.8 of their sets of five-word shingles.
 
-    If rows repeat that id, the one with the least content hash stays.  Rows
-    without an id are kept as they are.
+    The one with the smallest id stays; if rows repeat it, the one with the
+    least content hash.  Texts without words are alike.  Rows without an id
+    are kept as they are.
     """
     content = F.xxhash64("text")
-    out = components(fingerprints(docs.where("doc_id is not null").select("doc_id", "text", content.alias("content")), carry=("doc_id", "content"), size=PIPELINE_SHINGLE_WORDS))
-    keep = out.where("doc_id = component_id").groupBy("doc_id").agg(F.min("content").alias("content"))
-    keep = keep.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"))
-    kept = docs.withColumn("__c", content).join(keep, (F.col("doc_id") == F.col("__id")) & (F.col("__c") == F.col("__content")), "left_semi").dropDuplicates(["doc_id", "__c"]).drop("__c")
+    named = docs.where("doc_id is not null").select("doc_id", "text", content.alias("content"))
+    marks = staged(wide_marks(named), "wide-marks")
+    kinds = ["shingles", *(f"fp{k}" for k in range(WIDE))]
+    classes = staged(marks.groupBy(*kinds).agg(F.min(F.struct("doc_id", "content")).alias("first")), "wide-classes")
+    pairs = staged(wide_links(classes), "wide-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("shingles")).distinct().join(classes, "shingles").select("shingles", F.col("first.doc_id").alias("d"), F.col("first.content").alias("c"))
+    texts = named.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("content") == F.col("c"))).dropDuplicates(["shingles"]).select("shingles", "text")
+    nodes = connected_components(similar(pairs, staged(texts, "wide-texts")))
+    heads = classes.join(nodes, F.col("shingles") == F.col("node"), "left").groupBy(F.coalesce("component", "shingles")).agg(F.min("first").alias("first"))
+    keep = heads.select(F.col("first.doc_id").alias("__id"), F.col("first.content").alias("__content"))
+    kept = docs.withColumn("__c", content).join(keep, (F.col("doc_id") == F.col("__id")) & (F.col("__c").eqNullSafe(F.col("__content"))), "left_semi").dropDuplicates(["doc_id", "__c"]).drop("__c")
     return kept.unionByName(docs.where("doc_id is null"))
 
 

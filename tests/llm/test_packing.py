@@ -1,5 +1,6 @@
 """Pieces against the tokenizer itself; bins within every limit and few of them."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -36,6 +37,19 @@ def test_whole_texts_of_a_table(spark):
         assert packing.token_bytes(r.text, tokenizer_path()) == np.array(t.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_random_texts_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    t, rnd = Tokenizer.from_file(tokenizer_path()), random.Random(11)
+    letters = "abcXYZ0159'\u00dféÉŠšÑñİıŁłœǅǆΣσςأ中\u0301\u0307\u2019\u00b7ﬁ"
+    marks = "-.,;:!?%&$#*()[]|/\"'_<>=+~`@^{}\\…«»"
+    for x in ("İ[", "İ,", "İ.b", "aİ!", *(f"ab{chr(c)}{m}" for c in range(0xC0, 0x250) for m in "[.")):
+        assert packing.token_bytes(x, tokenizer_path()) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
+    for _ in range(6000):
+        x = " ".join("".join(rnd.choice(letters if rnd.random() < 0.7 else marks) for _ in range(rnd.randrange(1, 9))) for _ in range(3))
+        assert packing.token_bytes(x, tokenizer_path()) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
+
+
 def test_sequences(spark):
     out = packing.op5_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
     bins = defaultdict(list)

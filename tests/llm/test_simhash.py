@@ -1,6 +1,7 @@
 """Fingerprints and components against brute force."""
 
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -90,6 +91,56 @@ def test_stage_keeps_one_and_odd_rows(spark):
     assert s.keep_one(spark, docs.limit(0), "").count() == 0
 
 
+def sets_by_hand(texts, size=5):
+    out = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        out.append({b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else {b""})
+    return out
+
+
+def near_by_hand(texts):
+    """All pairs of similar texts, by way of an inverted index, and the group of each."""
+    sets, where = sets_by_hand(texts), defaultdict(list)
+    pairs = []
+    for i, x in enumerate(sets):
+        both = Counter(j for w in x for j in where[w])
+        pairs += [(j, i) for j, n in both.items() if n / (len(x) + len(sets[j]) - n) >= s.SIMILARITY]
+        for w in x:
+            where[w].append(i)
+    return pairs, closure(len(texts), pairs)
+
+
+def test_stage_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    texts = [r.text for r in rows]
+    for t in [t for t in texts if 100 < len(t.split()) < 2000][:200]:  # near copies from just over 0.8 on
+        words = t.split()
+        for k in range(2):
+            own = list(words)
+            for _ in range(max(1, round(len(own) * rng.uniform(0, 0.024)))):
+                own[rng.randrange(len(own))] = f"changed{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    pairs, group = near_by_hand(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in s.keep_one(spark, docs, "").collect()}
+    want = set(group)
+    assert len(pairs) > 400 and want <= kept, "a document without a similar one before it stays"
+    print(f"{len(kept - want)} of {len(texts) - len(want)} near copies stay")
+    assert len(kept - want) <= 0.02 * (len(texts) - len(want))
+
+
+def test_trees_connect_what_pairs_do():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, (40, 2), dtype=np.uint64)
+    fp = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, (40, 2), dtype=np.uint64)) for _ in range(12)])
+    for n, radius in ((480, 4), (480, 3), (200, 4)):
+        rows = fp[:n]
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if int(np.bitwise_count(rows[i] ^ rows[j]).sum()) <= radius]
+        assert closure(n, s.nearest_tree(rows, radius)) == closure(n, pairs) == closure(n, s.forest(rows, radius))
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(200)] + [(rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(250)] + [(7, 7), (5, 6)]

@@ -25,10 +25,10 @@ from .components import connected_components
 
 SHINGLE_CHARS = 8
 SIMILARITY = 0.8
-#: Signatures are of longer shingles, which fewer unlike lines share: at similarity 0.8 in shingles of 8 it is some 0.71 in those of 12.
+#: Signatures are of longer shingles, which fewer unlike lines share: similarity 0.8 in shingles of 8 is some 0.7 in those of 12.
 SIGNED_CHARS = 12
 #: A line of at least WORDY words is signed by the shingles at its word starts, one of fewer than WORDS by all shingles; between the two, by both.
-WORDY, WORDS = 26, 40
+WORDY, WORDS = 20, 30
 #: A line of fewer word starts than one in SPARSE characters is signed by all shingles, too.
 SPARSE = 24
 #: A band is two neighbours among a line's least hashes; so many bands of each kind.
@@ -37,8 +37,8 @@ BANDS = 8
 SKETCH, SLACK = 96, 0.11
 #: Lines that by their sketches may be so similar to their center are near it, and compared with it exactly.
 NEAR = 0.6
-#: Groups of so many lines, most of them not similar to their center, are looked at from their core.
-CROWD = 16
+#: Groups of so many lines, most of them not similar to their center, are looked at from their core: the shingles that most of up to CORE_LINES of them share.
+CROWD, CORE_LINES = 16, 9
 #: Of the shingles in which a line differs from its center so many least hashes are kept, and so many serve as bands; the agreement may fall short by TURN_SLACK (2.5 standard deviations at a third).
 TURNS, TURN_BANDS, TURN_SLACK = 32, 12, 0.2
 #: Candidate lines and removed lines up to this many are broadcast (some ten bytes each); more meet by a shuffle.
@@ -54,8 +54,8 @@ def shingle_hashes(line: Column, size: int = SHINGLE_CHARS) -> Column:
     step = 2 * size
 
     def windows(b: Column) -> Column:
-        last = F.greatest(F.floor(F.octet_length(b) / 2).cast("int") - size, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(b, i * 2 + 1, F.lit(step))))
+        last = F.greatest(F.octet_length(b) - step + 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last, F.lit(2)), lambda i: F.xxhash64(F.substring(b, i, F.lit(step))))
 
     return let(F.encode(line, "UTF-16BE"), windows)
 
@@ -65,38 +65,40 @@ def word_starts(line: Column, size: int = SIGNED_CHARS) -> Column:
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?:^| )(?=([^ ].{{{size - 1}}}))"), F.lit(1))
 
 
-def band_keys(hashes: Column) -> Column:
-    """A key for each two neighbours in the sorted BANDS + 1 least of ``hashes`` (for the one, if it is alone).
-
-    For two lines of similarity J, two hashes that are neighbours in either
-    signature are so in both with a chance of about J squared.
-    """
+def signature(hashes: Column) -> Column:
+    """The BANDS + 1 least of ``hashes``, sorted, without repeats."""
 
     def least(s: Column) -> Column:
         few = F.array_distinct(F.slice(s, 1, 4 * (BANDS + 1)))
         enough = (F.size(few) > BANDS) | (F.size(s) <= 4 * (BANDS + 1))
         return F.slice(F.when(enough, few).otherwise(F.array_distinct(s)), 1, BANDS + 1)
 
-    def keys(s: Column) -> Column:
-        pairs = F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, BANDS), lambda a, b: F.xxhash64(a, b))
-        return F.when(F.size(s) > 1, pairs).otherwise(s)
-
-    return let(let(F.sort_array(hashes), least), keys)
+    return let(F.sort_array(hashes), least)
 
 
-def bands(line: Column) -> Column:
-    """The bands of a line: of its word starts if they are many, of all shingles if they are few."""
-    none = F.array().cast("array<bigint>")
+def signatures(line: Column) -> Column:
+    """A struct of a line's two signatures: by word starts if they are many, by all shingles if they are few; null where not used."""
 
     def of(starts: Column) -> Column:
         n = F.size(starts)
-        some = F.when(n >= WORDY, band_keys(F.transform(starts, lambda w: F.xxhash64(w)))).otherwise(none)
-        every = F.when((n < WORDS) | (n * SPARSE < F.length(line)), band_keys(shingle_hashes(line, SIGNED_CHARS))).otherwise(none)
-        return F.concat(some, every)
+        some = F.when(n >= WORDY, signature(F.transform(starts, lambda w: F.xxhash64(w))))
+        every = F.when((n < WORDS) | (n * SPARSE < F.length(line)), signature(shingle_hashes(line, SIGNED_CHARS)))
+        return F.struct(some.alias("some"), every.alias("every"))
 
     return let(word_starts(line), of)
 
 
+def band_keys(signed: Column) -> list[Column]:
+    """A key for each two neighbours in a signature (for the one, if it is alone); null for those it has not.
+
+    For two lines of similarity J, two hashes that are neighbours in either
+    signature are so in both with a chance of about J squared.
+    """
+    at = lambda i: F.get(signed, F.lit(i))
+    pairs = [F.when(at(i + 1).isNotNull(), F.xxhash64(at(i), at(i + 1))) for i in range(BANDS)]
+    return [F.coalesce(pairs[0], at(0)), *pairs[1:]]
+
+
 def distinct_shingles(line: Column, size: int = SHINGLE_CHARS) -> Column:
     return F.array_distinct(shingle_hashes(line, size))
 
@@ -124,7 +126,9 @@ def could_reach(n: Column, m: Column, one: Column, two: Column, similarity: floa
 
 def line_marks(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, content, pos, id, bands) for each line that holds a word; content tells rows with one id apart, id is a hash of the line."""
-    return lines_of(documents, text, key).select("doc_id", "content", "pos", F.xxhash64("line").alias("id"), bands(F.col("line")).alias("bands"))
+    rows = lines_of(documents, text, key).select("doc_id", "content", "pos", F.xxhash64("line").alias("id"), signatures(F.col("line")).alias("s"))
+    rows = rows.select("doc_id", "content", "pos", "id", F.col("s.some").alias("some"), F.col("s.every").alias("every"))
+    return rows.select("doc_id", "content", "pos", "id", F.array(*band_keys(F.col("some")), *band_keys(F.col("every"))).alias("bands"))
 
 
 def lines_of(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -159,7 +163,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 def _shared_bands(marks: DataFrame) -> DataFrame:
     """(band, id, center) for each band of several lines; the center is the most frequent of them."""
     kinds = staged(marks.groupBy("id", "bands").agg(F.count("*").alias("n")), "lines")
-    placed = kinds.select(F.explode("bands").alias("band"), "id", "n")
+    placed = kinds.select(F.explode("bands").alias("band"), "id", "n").where("band is not null")
     crowded = staged(placed.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band"), "band-sizes")
     shared = staged(placed.join(_small(crowded), "band"), "bands")
     # a maximum of one number combines before the shuffle; lines that tie in it are settled by the least id
@@ -193,14 +197,17 @@ def _near_centers(shared: DataFrame, texts: DataFrame, similarity: float) -> Dat
 def _around_cores(near: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The groups of ``near`` most of whose lines are not similar to their center, looked at from their core; and the links found so.
 
-    The core has the shingles of more than half of the lines.  The line that
-    differs least from it is the group's new center, and ``linked`` and the
-    differences are from now on meant for this line and for the core.
+    The core has the shingles that most of a few of the lines share; whatever
+    it is, all lines are compared with it, and no link depends on it.  The
+    line that differs least from it is the group's new center, and ``linked``
+    and the differences are from now on meant for this line and for the core.
     """
     sizes = near.groupBy("center").agg(F.count("*").alias("many"), F.sum(F.col("linked").cast("int")).alias("close"))
-    poor = sizes.where(f"many >= {CROWD} and 2 * close < many").select("center", "many")
-    lines = staged(near.join(poor, "center").join(texts.select("id", "line"), "id").select("center", "id", "n", "many", distinct_shingles(F.col("line")).alias("shingles")), "odd-groups")
-    common = lines.select("center", "many", F.explode("shingles").alias("h")).groupBy("center", "h", "many").agg(F.count("*").alias("k")).where("2 * k > many")
+    poor = sizes.where(f"many >= {CROWD} and 2 * close < many").select("center")
+    lines = staged(near.join(poor, "center").join(texts.select("id", "line"), "id").select("center", "id", "n", distinct_shingles(F.col("line")).alias("shingles")), "odd-groups")
+    few = lines.groupBy("center").agg(F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(CORE_LINES)])).alias("few"))
+    few = few.select("center", F.explode("few").alias("id"), F.size("few").alias("many"))
+    common = few.join(lines, ["center", "id"]).select("center", "many", F.explode("shingles").alias("h")).groupBy("center", "h", "many").agg(F.count("*").alias("k")).where("2 * k > many")
     core = common.groupBy("center").agg(F.collect_list("h").alias("core"))  # at most twice as many as a line has
     seen = lines.join(core, "center").select("center", "id", "n", _differing(F.col("shingles"), F.col("core")).alias("s")).select("center", "id", "n", "s.*")
     seen = staged(seen, "around-cores")
@@ -261,6 +268,7 @@ def line_components(documents: DataFrame, marks: DataFrame, similarity: float =
     nearest = groups.groupBy("id").agg(F.min(F.struct("differing", "center")).alias("x")).select("id", F.col("x.center").alias("nearest"))
     groups = staged(groups.join(nearest, "id"), "groups")
     rest, far = _alike_beside_centers(groups, similarity), _alike_far_from_centers(shared, groups, texts, similarity)
+    rest = _both(rest, texts, "n", "sketch").where(could_reach(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), similarity, SLACK)).select("id_a", "id_b")
     more = _linked(staged(rest.unionByName(far).distinct(), "sifted-pairs"), texts, similarity)
     links = near.where("linked").select(F.col("center").alias("a"), F.col("id").alias("b"))
     return connected_components(links.unionByName(core_links.toDF("a", "b")).unionByName(more.toDF("a", "b")))

@@ -27,10 +27,10 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 #: Documents of which one stays: shingles of five words, as sets, and their exact similarity.
 SET_SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Their fingerprints have so many words of 64 bits.  At similarity 0.8 some 19 of 128 bits differ, and more than 32 in one of a thousand pairs.
-WIDE, WIDE_RADIUS = 2, 32
+#: Their fingerprints have so many words of 64 bits.  At similarity 0.8 some 19 of 128 bits differ, and more than 36 in one of ten thousand pairs.
+WIDE, WIDE_RADIUS = 2, 36
 #: A wide cell is a choice of segments, few enough that so many rows meet in it by chance; there are as many choices as bring RECALL of the pairs at SIMILARITY together.
-CELL_ROWS, RECALL = 64, 0.98
+CELL_ROWS, RECALL = 64, 0.995
 #: Cells of up to so many rows are compared as a whole.
 SMALL_CELL = 256
 #: Segments of two bits: as many values as matter, and the tightest bound short of the bits themselves.

@@ -2,15 +2,13 @@
 
 Urls become templates by writing variable segments as wildcards.  From there
 on all work is on counts by (host, template): a tree is built level by level,
-segments with too many siblings turn into wildcards, branches whose labels
-look alike share their counts, and a template is rejected if its labelled
-purity, smoothed towards its parent's, is low.
+branches whose labels do not differ by a pairwise test merge into one, and a
+template is rejected if its labelled purity, smoothed towards its parent's, is
+low.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,8 +25,7 @@ VARIABLE = (
     (r"^(?=.*[0-9])[0-9a-fA-F]{8,}$", "*"),
     (r"^.*[0-9]{4,}[^/.]*(\.[A-Za-z0-9]{1,8})?$", "*$1"),
 )
-MAX_CHILDREN = 24
-MAX_DEPTH = 8
+#: Two branches are alike if their rates of good labels differ by fewer standard errors.
 ALIKE_Z = 1.96
 PRIOR_WEIGHT = 4.0
 MIN_PURITY = 0.5
@@ -51,8 +48,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def template(path: Column, max_depth: int = MAX_DEPTH) -> Column:
-    """The path's segments, variable ones as wildcards; what lies below ``max_depth`` as one "**"."""
+def template(path: Column) -> Column:
+    """The path's segments, variable ones as wildcards."""
 
     def general(s: Column) -> Column:
         out = s
@@ -60,44 +57,59 @@ def template(path: Column, max_depth: int = MAX_DEPTH) -> Column:
             out = F.when(s.rlike(pattern), F.regexp_replace(s, pattern, form)).otherwise(out)
         return out
 
-    segments = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    cut = let(segments, lambda s: F.when(F.size(s) > max_depth, F.concat(F.slice(s, 1, max_depth), F.array(F.lit("**")))).otherwise(s))
-    return F.transform(cut, general)
+    return F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), general)
+
 
+def _apart(g: Column, n: Column, g2: Column, n2: Column) -> Column:
+    """The two-proportion test of g good of n against g2 of n2, in standard errors; null if either has none."""
+    pooled = (g + g2 + 0.5) / (n + n2 + 1)
+    return F.when((n > 0) & (n2 > 0), F.abs(F.try_divide(g, n) - F.try_divide(g2, n2)) / F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), n) + F.try_divide(F.lit(1), n2))))
 
-def template_verdicts(counts: DataFrame, max_children: int = MAX_CHILDREN, max_depth: int = MAX_DEPTH, prior_weight: float = PRIOR_WEIGHT, min_purity: float = MIN_PURITY, alike_z: float = ALIKE_Z) -> DataFrame:
-    """host, template, purity and rejected for each row of ``counts`` (host, template, pages, labelled, good).
 
-    Purity is smoothed from the root down: at each level a branch has its own
-    counts, or those of all siblings alike to the whole if it is one of them
-    (a two-proportion test), plus ``prior_weight`` pages of its parent's purity.
+def merged_branches(children: DataFrame, alike_z: float = ALIKE_Z) -> DataFrame:
+    """``children`` (host, node, segment, n, g) with the branch each belongs to, and that branch's counts.
+
+    A segment that cannot be told from all its siblings together goes to
+    branch 0.  The others, in the order of their rates of good labels, begin
+    a new branch where neighbours can be told apart.  Only labelled segments
+    come here, so a host's rows are bounded by its labels.
+    """
+    level = Window.partitionBy("host", "node")
+    out = children.withColumns({"all_n": F.sum("n").over(level), "all_g": F.sum("g").over(level)})
+    out = out.withColumn("own", F.coalesce(_apart(F.col("g"), F.col("n"), F.col("all_g") - F.col("g"), F.col("all_n") - F.col("n")) >= alike_z, F.lit(False)))
+    by = Window.partitionBy("host", "node", "own").orderBy("rate", "segment")
+    out = out.withColumn("rate", (F.col("g") + 0.5) / (F.col("n") + 1)).withColumns({"n0": F.lag("n").over(by), "g0": F.lag("g").over(by)})
+    starts = F.col("n0").isNull() | (_apart(F.col("g"), F.col("n"), F.col("g0"), F.col("n0")) >= alike_z)
+    out = out.withColumn("branch", F.when(F.col("own"), F.sum(starts.cast("int")).over(by)).otherwise(0))
+    same = Window.partitionBy("host", "node", "branch")
+    out = out.withColumns({"branch_n": F.sum("n").over(same), "branch_g": F.sum("g").over(same), "members": F.count("*").over(same)})
+    return out.drop("rate", "n0", "g0", "own", "all_n", "all_g")
+
+
+def template_verdicts(counts: DataFrame, prior_weight: float = PRIOR_WEIGHT, min_purity: float = MIN_PURITY, alike_z: float = ALIKE_Z) -> DataFrame:
+    """host, template, node, purity and rejected for each row of ``counts`` (host, template, pages, labelled, good).
+
+    Purity is smoothed from the root down: at each level a branch has the
+    counts of all its merged segments plus ``prior_weight`` pages of its
+    parent's purity.  Below the last label nothing changes, so the levels are
+    those of labelled templates; segments without labels keep their parent's
+    purity.
     """
-    frame = counts.withColumn("node", F.lit("")).withColumn("open", F.lit(True))
-    root = Window.partitionBy("host")
     overall = counts.agg(((F.sum("good") + 1) / (F.sum("labelled") + 2)).alias("overall"))
-    frame = frame.crossJoin(F.broadcast(overall))  # one row
-    sums = lambda w: (F.sum("labelled").over(w), F.sum("good").over(w))
-    n, g = sums(root)
-    frame = frame.withColumn("purity", (g + prior_weight * F.coalesce("overall", F.lit(0.5))) / (n + prior_weight))
-    for level in range(1, max_depth + 2):
-        segment = F.get("template", F.lit(level - 1))
-        siblings = frame.groupBy("host", "node").agg(F.countDistinct(segment).alias("children"))
-        frame = frame.join(siblings, ["host", "node"])
-        frame = frame.withColumn("segment", F.when(F.col("children") > max_children, "*").otherwise(segment)).drop("children")
-        child = frame.where("segment is not null").groupBy("host", "node", "segment").agg(F.sum("labelled").alias("n"), F.sum("good").alias("g"), F.first("purity").alias("above"))
-        whole = Window.partitionBy("host", "node")
-        rate = (F.sum("g").over(whole) + 0.5) / (F.sum("n").over(whole) + 1)
-        z = F.abs(F.col("g") / F.greatest("n", F.lit(1)) - F.col("rate")) / F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.greatest("n", F.lit(1)))
-        child = child.withColumn("rate", rate).withColumn("alike", (F.col("n") == 0) | (z < alike_z))
-        group = Window.partitionBy("host", "node", "alike")
-        own = lambda c: F.when(F.col("alike"), F.sum(c).over(group)).otherwise(F.col(c))
-        child = child.withColumn("next", (own("g") + prior_weight * F.col("above")) / (own("n") + prior_weight)).select("host", "node", "segment", "next")
-        frame = frame.join(child, ["host", "node", "segment"], "left")
+    hosts = counts.groupBy("host").agg(F.sum("labelled").alias("n"), F.sum("good").alias("g")).crossJoin(F.broadcast(overall))  # one row
+    hosts = hosts.select("host", ((F.col("g") + prior_weight * F.coalesce("overall", F.lit(0.5))) / (F.col("n") + prior_weight)).alias("purity"))
+    frame = counts.join(hosts, "host").withColumn("node", F.lit(""))
+    depth = counts.where("labelled > 0").agg(F.max(F.size("template"))).first()[0] or 0
+    for level in range(1, depth + 1):
+        frame = frame.withColumn("segment", F.get("template", F.lit(level - 1)))
+        children = frame.where("segment is not null and labelled > 0").groupBy("host", "node", "segment").agg(F.sum("labelled").alias("n"), F.sum("good").alias("g"), F.first("purity").alias("above"))
+        merged = merged_branches(children, alike_z)
+        name = F.when(F.col("members") > 1, F.concat(F.lit("*"), F.col("branch"))).otherwise(F.col("segment"))
+        purity = (F.col("branch_g") + prior_weight * F.col("above")) / (F.col("branch_n") + prior_weight)
+        frame = frame.join(merged.select("host", "node", "segment", name.alias("name"), purity.alias("next")), ["host", "node", "segment"], "left")
         frame = frame.withColumn("purity", F.coalesce("next", "purity"))
-        frame = frame.withColumn("node", F.when(F.col("segment").isNotNull(), F.concat("node", F.lit("/"), "segment")).otherwise(F.concat("node", F.lit("$")))).drop("next", "segment")
+        frame = frame.withColumn("node", F.when(F.col("segment").isNotNull(), F.concat("node", F.lit("/"), F.coalesce("name", F.lit("?")))).otherwise(F.concat("node", F.lit("$")))).drop("name", "next", "segment")
         frame = staged(frame, f"url-tree-{level}")
-        if frame.where(F.size("template") > level).isEmpty():
-            break
     return frame.select("host", "template", "node", "purity", (F.col("purity") < min_purity).alias("rejected"))
 
 

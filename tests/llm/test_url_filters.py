@@ -39,7 +39,32 @@ def test_tree_tells_branches_apart(spark):
     rows = [(f"http://h.org/spam/{i}", 0) for i in range(30)] + [(f"http://h.org/good/{i}.html", 1) for i in range(200)] + [(f"http://h.org/user{chr(97 + i // 26)}{chr(97 + i % 26)}/about", i % 10 > 0) for i in range(300)]
     marks = spark.createDataFrame([(a, int(b)) for a, b in rows], "url string, good int")
     urls = spark.createDataFrame([(1, "http://h.org/spam/999"), (2, "http://h.org/good/7.html"), (3, "http://h.org/userzz/about"), (4, "http://other.org/spam/9")], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in u.judge(urls, marks, max_children=400).collect()}
+    got = {r.page_id: r.verdict for r in u.judge(urls, marks).collect()}
     assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
-    wild = {r.page_id: r.verdict for r in u.judge(urls, marks).collect()}  # too many siblings: one wildcard
-    assert wild[2] == wild[3] == "allow"
+
+
+def test_branches_merge_by_tests_not_by_counts(spark):
+    """Hundreds of siblings: those with few labels share a branch, bad and good ones keep their own, however deep."""
+    children = spark.createDataFrame([("h", "", f"s{i:03}", 2, 2 - (i % 10 == 0)) for i in range(400)] + [("h", "", "bad1", 40, 1), ("h", "", "bad2", 50, 2), ("h", "", "half", 200, 100), ("g", "", "only", 5, 0)], "host string, node string, segment string, n long, g long")
+    got = {(r.host, r.segment): (r.branch, r.branch_n, r.members) for r in u.merged_branches(children).collect()}
+    assert got["h", "s000"][0] == got["h", "s399"][0] == 0 and got["h", "s000"][2] >= 360
+    assert got["h", "bad1"] == got["h", "bad2"] == (got["h", "bad1"][0], 90, 2) and got["h", "bad1"][0] > 0
+    assert got["h", "half"][1] == 200 and got["g", "only"] == (0, 5, 1)
+    deep = "/".join("abcdefghijkl")
+    marks = spark.createDataFrame([(f"http://h.org/{deep}/bad/{i}", 0) for i in range(40)] + [(f"http://h.org/{deep}/fine/{i}", 1) for i in range(40)], "url string, good int")
+    urls = spark.createDataFrame([(1, f"http://h.org/{deep}/bad/x"), (2, f"http://h.org/{deep}/fine/x"), (3, f"http://h.org/{deep}/bad/5")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in u.judge(urls, marks).collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_verdicts_on_held_out_labels(spark):
+    """Labels that follow the branch: learned on four fifths, judged on the rest."""
+    import random
+
+    rnd = random.Random(8)
+    rows = [(f"http://s{h}.org/{b}/{rnd.randrange(10**6)}.html", int(rnd.random() < p)) for h in range(6) for b, p in (("news", 0.95), ("promo", 0.04), ("wiki", 0.9), ("ads", 0.1)) for _ in range(120)]
+    rnd.shuffle(rows)
+    cut = len(rows) * 4 // 5
+    out = u.judge(spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(rows[cut:])], "page_id long, url string, good int"), spark.createDataFrame(rows[:cut], "url string, good int")).collect()
+    right = sum((r.verdict == "allow") == (r.good == 1) for r in out)
+    print(f"{right} of {len(out)} held-out urls judged as labelled")
+    assert right >= 0.9 * len(out)

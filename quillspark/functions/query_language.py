@@ -6,7 +6,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-from ..functions.text import ACCENTED, PLAIN
+from .text import ACCENTED, PLAIN
 
 _CJK = re.compile(r"[ᄀ-ᇿ぀-ヿ㄰-㆏ㇰ-ㇿ㐀-䶿一-鿿가-힯豈-﫿]")
 _FOLD = str.maketrans(ACCENTED, PLAIN)

@@ -131,3 +131,74 @@ def snippet(body: Column, query: Column, max_lines: int = 4) -> Column:
 
     terms = F.filter(F.split(F.lower(query), r"\s+", -1), lambda w: w != "")
     return let(terms, with_terms)
+
+
+#: Bytes of a text around a chunk that a snippet may show, and of a snippet.
+SNIPPET_MARGIN, SNIPPET_BYTES, SNIPPET_CHUNK = 100, 500, 3600
+SNIPPET_INTENT = 0.3
+
+
+def char_start(data: Column, at: Column) -> Column:
+    """Byte ``at`` of UTF-8 ``data``, or the first byte of the character it lies inside."""
+    inside = lambda p: F.hex(F.substring(data, p + 1, F.lit(1))).between("80", "BF")
+    out = at - 3
+    for k in (2, 1, 0):
+        out = F.when(~inside(at - k), at - k).otherwise(out)
+    return out
+
+
+def extract_snippet(body: Column, query: Column, max_bytes: int = SNIPPET_BYTES, chunk_pos: Column | None = None, chunk_len: Column | None = None, intent: Column | None = None) -> Column:
+    """The lines around the best one, under a header: struct of line, snippet, before, after and count.
+
+    A line scores 1 for each query word and less for each intent term that it
+    contains; the first of equals wins.  With ``chunk_pos`` (in bytes) only the
+    chunk and a margin count; where nothing matches there, the chunk's first
+    line is shown, and where that gives nothing, the whole text is tried.
+    """
+    terms = F.filter(F.split(F.lower(query), r"\s+", -1), lambda w: w != "")
+    wishes = intent_terms(F.coalesce(intent, F.lit(""))) if intent is not None else F.array().cast("array<string>")
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    text = lambda data, a, b: F.decode(F.substring(data, a + 1, b - a), "UTF-8")
+
+    def scored(lines: Column) -> Column:
+        hits = lambda line, words: F.size(F.filter(words, lambda t: F.contains(line, t)))
+        score = lambda line: hits(line, terms) + SNIPPET_INTENT * hits(line, wishes)
+        return F.array_max(F.transform(lines, lambda line, i: F.struct(let(F.lower(line), score).alias("score"), (-i).alias("at"))))
+
+    def shown(lines: Column, best: Column, offset: Column) -> Column:
+        start = F.greatest(best - 1, F.lit(0))
+        count = F.least(best + 3, F.size(lines)) - start
+        first = offset + start + 1
+        after = F.greatest(newlines(body) + 1 - (first + count - 1), F.lit(0))
+        header = F.concat(F.lit("@@ -"), first.cast("string"), F.lit(","), count.cast("string"), F.lit(" @@ ("), (first - 1).cast("string"), F.lit(" before, "), after.cast("string"), F.lit(" after)\n"))
+        cut = lambda t: F.when(F.octet_length(t) > max_bytes, let(F.encode(t, "UTF-8"), lambda d: F.concat(text(d, F.lit(0), char_start(d, F.lit(max(0, max_bytes - 3)))), F.lit("...")))).otherwise(t)
+        plain = F.array_join(F.slice(lines, start + 1, count), "\n")
+        return F.struct((offset + best + 1).cast("int").alias("line"), F.concat(header, let(plain, cut)).alias("snippet"), (first - 1).cast("int").alias("before"), after.cast("int").alias("after"), count.cast("int").alias("count"))
+
+    whole = let(F.split(body, "\n", -1), lambda ls: let(scored(ls), lambda s: shown(ls, -s["at"], F.lit(0))))
+    if chunk_pos is None:
+        return whole
+    pos = chunk_pos.cast("int")
+    length = (F.lit(SNIPPET_CHUNK) if chunk_len is None else chunk_len).cast("int")
+
+    def near(data: Column) -> Column:
+        a = char_start(data, F.greatest(pos - SNIPPET_MARGIN, F.lit(0)))
+        b = char_start(data, F.least(pos + length + SNIPPET_MARGIN, F.octet_length(body)))
+
+        def of(at: Column) -> Column:
+            anchor = newlines(text(data, at["a"], pos))
+            lines = F.split(text(data, at["a"], at["b"]), "\n", -1)
+
+            def chosen(ls: Column) -> Column:
+                def result(s: Column) -> Column:
+                    window = shown(ls, F.when(s["score"] > 0, -s["at"]).otherwise(anchor), newlines(text(data, F.lit(0), at["a"])))
+                    empty = lambda w: w["snippet"].rlike(r"^[^\n]*\n\s*$")
+                    return F.when((s["score"] <= 0) & (pos == 0), whole).otherwise(let(window, lambda w: F.when((pos > 0) & empty(w), whole).otherwise(w)))
+
+                return let(scored(ls), result)
+
+            return let(lines, chosen)
+
+        return let(F.struct(a.alias("a"), b.alias("b")), of)
+
+    return F.when(chunk_pos.isNull(), whole).otherwise(let(F.encode(body, "UTF-8"), near))

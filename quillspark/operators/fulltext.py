@@ -6,14 +6,14 @@ postings first, and only what matches meets anything else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import virtual_path
+from ..functions.query_language import parse_lexical
 from ..functions.stemming import porter, stemmed
 from ..functions.text import docid, normalize_cjk, tokens
-from ..plans.query_language import parse_lexical
 
 #: Weights of the indexed columns, BM25's two constants, and what an item's weight is at least.
 WEIGHTS = {"filepath": 1.5, "title": 4.0, "body": 1.0}
@@ -48,6 +48,31 @@ def lengths(tokens_: DataFrame) -> DataFrame:
     return tokens_.groupBy("doc_id").agg(F.count("*").alias("dl"))
 
 
+#: Stored postings lie in so many folders, by a hash of the term; a search opens those of its terms only.
+BUCKETS = 64
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def matches(term: Column, items: DataFrame) -> Column:
+    """Whether a term is a token of ``items``, or begins with one that is a prefix."""
+    return F.when(items["prefix"], term.startswith(items["token"])).otherwise(term == items["token"])
+
+
+def stored_tokens(stored: DataFrame, terms: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of :func:`token_table` for the terms that ``items`` ask for, from stored postings.
+
+    Items meet the vocabulary ``terms`` first; of the postings (bucket,
+    doc_id, col, term, tf, positions) only the buckets of what matches are read.
+    """
+    wanted = terms.join(F.broadcast(items.select("prefix", "token").distinct()), matches(F.col("term"), items)).select("term").distinct()
+    folders = sorted(r["bucket"] for r in wanted.select(bucket(F.col("term")).alias("bucket")).distinct().collect())  # at most BUCKETS
+    rows = stored.where(F.col("bucket").isin(folders)).join(wanted, "term", "left_semi")
+    return rows.select("doc_id", "col", F.explode("positions").alias("pos"), "term")
+
+
 def query_items(spark: SparkSession, queries: list[tuple[int, str]], stem: bool = False) -> DataFrame:
     """(query_id, item, negated, prefix, k, m, token): a row for each token of each item of each query."""
     shape = porter if stem else (lambda t: t)
@@ -66,19 +91,21 @@ def occurrences(tokens_: DataFrame, items: DataFrame) -> DataFrame:
     Items are few, bounded by the queries, so they are broadcast and postings
     are matched where they lie; only what matches is shuffled.
     """
-    wanted = F.when(F.col("prefix"), F.col("term").startswith(F.col("token"))).otherwise(F.col("term") == F.col("token"))
-    found = tokens_.join(F.broadcast(items), wanted).select("query_id", "item", "negated", "doc_id", "col", (F.col("pos") - F.col("k")).alias("base"), "k", "m")
+    found = tokens_.join(F.broadcast(items), matches(F.col("term"), items)).select("query_id", "item", "negated", "doc_id", "col", (F.col("pos") - F.col("k")).alias("base"), "k", "m")
     single = found.where("m = 1").groupBy("query_id", "item", "negated", "doc_id", "col").agg(F.count("*").alias("occ"))
     phrase = found.where("m > 1").groupBy("query_id", "item", "negated", "doc_id", "col", "base", "m").agg(F.countDistinct("k").alias("got")).where("got = m")
     phrase = phrase.groupBy("query_id", "item", "negated", "doc_id", "col").agg(F.count("*").alias("occ"))
     return single.unionByName(phrase)
 
 
-def bm25(documents: DataFrame, items: DataFrame, tokens_: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, bm25) for documents with all positive items of a query and none of the negated ones; less is better."""
+def bm25(documents: DataFrame, items: DataFrame, tokens_: DataFrame | None = None, dl: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, bm25) for documents with all positive items of a query and none of the negated ones; less is better.
+
+    With ``dl``, the stored :func:`lengths`, ``tokens_`` need hold no other terms than the items'.
+    """
     tokens_ = token_table(documents) if tokens_ is None else tokens_
     total = documents.where("active").agg(F.count("*").alias("n_docs"))
-    dl = lengths(tokens_)
+    dl = lengths(tokens_) if dl is None else dl
     size = dl.agg(F.sum("dl").alias("tokens"))
     occ = occurrences(tokens_, items)
     weight = F.lit(0.0)
@@ -97,14 +124,17 @@ def bm25(documents: DataFrame, items: DataFrame, tokens_: DataFrame | None = Non
     return out.join(per.where("negated").select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti")
 
 
-def search(spark: SparkSession, documents: DataFrame, queries: list[tuple[int, str]], limit: int = DEFAULT_LIMIT, collection: str | None = None, min_score: float = 0.0, exact: bool = False, stem: bool = False) -> DataFrame:
+def search(spark: SparkSession, documents: DataFrame, queries: list[tuple[int, str]], limit: int = DEFAULT_LIMIT, collection: str | None = None, min_score: float = 0.0, exact: bool = False, stem: bool = False, tokens_: DataFrame | None = None, dl: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
     """The best documents for each query: query_id, rank, doc_id, docid, collection, path, file, title, score.
 
     With a collection, ten times ``limit`` documents are fetched before those
     of others are dropped; ``exact`` filters first.  With ``stem``, terms of
-    documents and queries are Porter stems.  Ties go by document id.
+    documents and queries are Porter stems.  Ties go by document id.  A stored
+    text index comes in as ``tokens_`` and ``dl`` (with their ``items``).
     """
-    ranked = bm25(documents, query_items(spark, queries, stem), stemmed(token_table(documents)) if stem else None)
+    if tokens_ is None and stem:
+        tokens_ = stemmed(token_table(documents))
+    ranked = bm25(documents, query_items(spark, queries, stem) if items is None else items, tokens_, dl)
     cut = limit * OVERFETCH if collection and not exact else limit
     facts = documents.where("active").select("doc_id", docid(F.col("hash")).alias("docid"), "collection", "path", "title")
     if collection and exact:

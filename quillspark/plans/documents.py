@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import display as V
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import chunking, fusion, metrics, nearest, sinks
@@ -12,6 +13,7 @@ from ..operators import fulltext as ft
 from ..operators import provider as pv
 from ..sources import derived
 from ..sources.tables import read_table
+from . import hybrid
 from .lexical import search_sql
 
 D = f"WITH {derived.SQL}"
@@ -24,14 +26,14 @@ def _docs(s, d):
 
 def _made(s, d):
     """Documents with markdown around their text: a heading, sub-headings, a rule, lists and a fence."""
-    docs = read_table(s, d, "documents").where("doc_id % 10 < 4")
+    docs = read_table(s, d, "documents")
     lines = F.split("text", "\n", -1)
     body = F.concat(F.lit("intro\n# Title "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.array_join(F.transform(lines, lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("## "), x)).when(i % 3 == 1, F.concat(F.lit("- "), x)).otherwise(x)), "\n"), F.lit(f"\n---\n{TICKS}py\nx = 1\n\n{TICKS}\n1. one\nend"))
     return docs.select("doc_id", body.alias("body"))
 
 
 _MADE = f"""made AS (SELECT doc_id, 'intro' || chr(10) || '# Title ' || doc_id || chr(10) || chr(10) || array_to_string([CASE WHEN (i - 1) % 3 = 0 THEN '## ' || x WHEN (i - 1) % 3 = 1 THEN '- ' || x ELSE x END FOR x, i IN string_split(text, chr(10))], chr(10))
-  || chr(10) || '---' || chr(10) || '{TICKS}py' || chr(10) || 'x = 1' || chr(10) || chr(10) || '{TICKS}' || chr(10) || '1. one' || chr(10) || 'end' AS body FROM documents WHERE doc_id % 10 < 4),
+  || chr(10) || '---' || chr(10) || '{TICKS}py' || chr(10) || 'x = 1' || chr(10) || chr(10) || '{TICKS}' || chr(10) || '1. one' || chr(10) || 'end' AS body FROM documents),
 ln AS (SELECT doc_id, length(body) AS size, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS i, len(string_split(body, chr(10))) AS n FROM made),
 lp AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS BIGINT) AS pos FROM ln)"""
 
@@ -111,10 +113,11 @@ def cache_keys(s, d):
 
 
 def rerank_cached(s, d):
-    b = read_table(s, d, "benchmark").where("item_id < 6").select(F.substring_index("text", " ", 3).alias("query"))
-    docs = read_table(s, d, "documents").where("doc_id % 20 = 0").select("doc_id", F.left("text", F.lit(400)).alias("chunk"))
-    rows = docs.crossJoin(F.broadcast(b))  # a few queries
-    cache = rows.where("doc_id % 40 = 0").select(pv.cache_key("rerank", query=F.col("query"), model=F.lit(pv.RERANK_MODEL), chunk=F.col("chunk")).alias("key"), F.lit("0.5").alias("result")).distinct()
+    """Every document for the queries of every twentieth item; the cache has the answers for documents of even ids."""
+    b = read_table(s, d, "benchmark").where("item_id % 20 = 0").select(F.substring_index("text", " ", 3).alias("query"))
+    docs = read_table(s, d, "documents").select("doc_id", F.col("text").alias("chunk"))
+    rows = docs.crossJoin(F.broadcast(b))  # the stated query set against all rows
+    cache = rows.where("doc_id % 2 = 0").select(pv.cache_key("rerank", query=F.col("query"), model=F.lit(pv.RERANK_MODEL), chunk=F.col("chunk")).alias("key"), F.lit("0.5").alias("result")).distinct()
     out = pv.rerank_cached(rows, cache, pv.MockProvider())
     return out.select("doc_id", "query", F.round("rerank", 6).alias("rerank"), "cached")
 
@@ -216,6 +219,31 @@ f AS (SELECT file, round(sum(CASE WHEN list_index = first THEN 2.0::DOUBLE ELSE
 r AS (SELECT *, CAST(row_number() OVER (ORDER BY s DESC, file) AS INT) AS rank FROM f) SELECT 1 AS query_id, rank, file, top_rank, round(1.0::DOUBLE / rank, 9) AS score FROM r WHERE rank <= 10"""
 
 
+NOW = 1_750_000_000
+
+
+def shown_sizes(s, d):
+    """Sizes, counts, durations and times of lineitem and orders as people read them."""
+    o = read_table(s, d, "orders")
+    cents, at = (F.col("o_totalprice") * 100).cast("long"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return o.select("o_orderkey", V.size_text(cents).alias("size"), V.count_text(cents).alias("count"), V.duration_text(F.col("o_orderkey") % 9000).alias("duration"), V.ago_text(at, F.lit(NOW)).alias("ago"), V.listing_time(at, F.lit(NOW)).alias("listed"))
+
+
+def snippets_with_intent(s, d):
+    x = T.extract_snippet(F.col("text"), F.lit("the des queda und"), 1_000_000, intent=F.lit("find the tion, erlich"))
+    return read_table(s, d, "documents").select("doc_id", x.alias("x")).select("doc_id", "x.*")
+
+
+def expanded_queries(s, d):
+    """Expansions of the first words of every item; the cache has answers for even items."""
+    items = read_table(s, d, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.lower(F.substring_index("text", " ", 3)).alias("text"), F.when(F.col("item_id") % 3 == 0, "about words").alias("intent"))
+    key = pv.cache_key("expandQuery", query=F.col("text"), model=F.lit(hybrid.EXPAND_MODEL), intent=F.coalesce("intent", F.lit("")))
+    answer = F.to_json(F.array(F.struct(F.lit("lex").alias("type"), F.concat(F.lit(" "), "text").alias("query")), F.struct(F.lit("vec").alias("type"), F.concat(F.lit("known "), "text").alias("query"))))
+    cache = items.where("query_id % 2 = 0").select(key.alias("hash"), answer.alias("result")).distinct()
+    out = hybrid.expand(items, cache, pv.MockProvider())
+    return out.select("query_id", "cached", F.posexplode("variants").alias("n", "v")).select("query_id", "cached", "n", "v.type", "v.query")
+
+
 def queries() -> dict:
     doc = lambda f: lambda s, d: f(_docs(s, d))
     made = lambda f: lambda s, d: f(_made(s, d), "doc_id", F.col("body"))
@@ -223,7 +251,7 @@ def queries() -> dict:
         "content_hash_docid": doc(lambda x: x.select("doc_id", "hash", T.docid(F.col("hash")).alias("docid"), T.is_docid(F.concat(F.lit(' "#'), T.docid(F.col("hash")), F.lit('" '))).alias("quoted"), T.is_docid(F.col("path")).alias("plain"))),
         "extract_title": titles, "handelize_ascii": handelized,
         "intent_terms": lambda s, d: read_table(s, d, "benchmark").select("item_id", F.array_join(T.intent_terms(F.concat(F.lit("Find the (Notes) about: "), "text")), " ").alias("terms")),
-        "snippet_best_line": snippets,
+        "snippet_best_line": snippets, "snippet_with_intent": snippets_with_intent, "expand_cached": expanded_queries, "display_formats": shown_sizes,
         "add_line_numbers": doc(lambda x: x.select("doc_id", T.add_line_numbers(F.col("body"), F.lit(5)).alias("numbered"))),
         "slice_lines": doc(lambda x: x.select("doc_id", T.slice_lines(F.col("body"), 3, 2).alias("part"))),
         "truncate_lines": doc(lambda x: x.select("doc_id", T.truncate_lines(F.col("body"), 4).alias("part"))),
@@ -272,6 +300,18 @@ SELECT page_id, array_to_string(list_filter(x, lambda y: y <> ''), '/') || '.MD'
         "intent_terms": rf"""WITH w AS (SELECT item_id, [regexp_replace(regexp_replace(x, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]+$', '') FOR x IN regexp_split_to_array(lower('Find the (Notes) about: ' || text), '\s+')] AS x FROM benchmark)
 SELECT item_id, array_to_string(list_filter(x, lambda y: strlen(y) > 1 AND y NOT IN ({stop})), ' ') AS terms FROM w""",
         "snippet_best_line": f"WITH {snip('documents', 'doc_id', hit('line', terms))} SELECT *, '@@ -' || (before + 1) || ',' || count || ' @@ (' || before || ' before, ' || after || ' after)' AS header FROM sn",
+        "snippet_with_intent": f"""WITH {snip('documents', 'doc_id', '(' + hit('line', terms) + ") + 0.3::DOUBLE * (" + hit('line', ['tion', 'erlich']) + ')')}
+SELECT doc_id, line, '@@ -' || (before + 1) || ',' || count || ' @@ (' || before || ' before, ' || after || ' after)' || chr(10) || snippet AS snippet, before, after, count FROM sn""",
+        "expand_cached": f"""WITH b AS (SELECT CAST(item_id AS INT) AS query_id, lower({w(3)}) AS t, CASE WHEN item_id % 3 = 0 THEN chr(10) || 'Intent: about words' ELSE '' END AS i FROM benchmark),
+k AS (SELECT DISTINCT t, i FROM b WHERE query_id % 2 = 0), c AS (SELECT b.*, k.t IS NOT NULL AS cached FROM b LEFT JOIN k USING (t, i))
+SELECT query_id, cached, 0 AS n, CASE WHEN cached THEN 'vec' ELSE 'hyde' END AS type, CASE WHEN cached THEN 'known ' || t ELSE 'doc about ' || t || i END AS query FROM c
+UNION ALL SELECT query_id, cached, 1, 'vec', 'semantic ' || t || i FROM c WHERE NOT cached""",
+        "display_formats": f"""WITH o AS (SELECT o_orderkey, CAST(o_totalprice * 100 AS BIGINT) AS p, o_orderkey % 9000 AS s, o_orderdate AS made, {NOW} - epoch(o_orderdate)::BIGINT AS gone FROM orders),
+f AS (SELECT o_orderkey, CAST(trunc(o_totalprice * 100) AS BIGINT) AS n FROM orders)
+SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{{:.1f}} KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN format('{{:.1f}} MB', n / 1048576.0::DOUBLE) ELSE format('{{:.1f}} GB', n / 1073741824.0::DOUBLE) END AS size, format('{{:,}}', n) AS count,
+CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' END AS duration,
+CASE WHEN gone < 60 THEN gone || 's ago' WHEN gone < 3600 THEN (gone // 60) || 'm ago' WHEN gone < 86400 THEN (gone // 3600) || 'h ago' ELSE (gone // 86400) || 'd ago' END AS ago,
+strftime(made, '%b ') || lpad(CAST(day(made) AS VARCHAR), 2, ' ') || CASE WHEN gone > 15552000 THEN '  ' || year(made) ELSE strftime(made, ' %H:%M') END AS listed FROM o JOIN f USING (o_orderkey)""",
         "add_line_numbers": f"{D} SELECT doc_id, array_to_string([CAST(i + 4 AS VARCHAR) || ': ' || x FOR x, i IN string_split(body, chr(10))], chr(10)) AS numbered FROM docs",
         "slice_lines": f"{D} SELECT doc_id, array_to_string(string_split(body, chr(10))[3:4], chr(10)) AS part FROM docs",
         "truncate_lines": f"{D} SELECT doc_id, CASE WHEN len(string_split(body, chr(10))) > 4 THEN array_to_string(string_split(body, chr(10))[1:4], chr(10)) || chr(10) || chr(10) || '[... truncated ' || (len(string_split(body, chr(10))) - 4) || ' more lines]' ELSE body END AS part FROM docs",
@@ -295,7 +335,7 @@ e AS (SELECT item_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM o), k
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS INT) AS n, type, query FROM k WHERE type IN ('lex', 'vec', 'hyde') AND query <> ''""",
         "expand_fallback": f"WITH b AS (SELECT item_id, lower({w(1)}) || ' zz' AS q FROM benchmark) SELECT item_id, n::INT AS n, type, CASE WHEN type = 'hyde' THEN 'Information about ' || q ELSE q END AS query FROM b, (VALUES (0, 'hyde'), (1, 'lex'), (2, 'vec')) v(n, type)",
         "rerank_cache_key": "SELECT event_id, sha256('rerank{\"query\":\"' || event_type || '\",\"model\":\"mock-reranker\",\"chunk\":\"chunk ' || user_id || '\"}') AS key FROM events",
-        "rerank_mock_cached": f"""WITH q AS (SELECT {w(3)} AS query FROM benchmark WHERE item_id < 6), d AS (SELECT doc_id, left(text, 400) AS chunk FROM documents WHERE doc_id % 20 = 0), c AS (SELECT DISTINCT chunk FROM d WHERE doc_id % 40 = 0),
+        "rerank_mock_cached": f"""WITH q AS (SELECT {w(3)} AS query FROM benchmark WHERE item_id % 20 = 0), d AS (SELECT doc_id, text AS chunk FROM documents), c AS (SELECT DISTINCT chunk FROM d WHERE doc_id % 2 = 0),
 x AS (SELECT doc_id, query, chunk, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: length(t) > 1) AS ws FROM d, q)
 SELECT doc_id, query, CASE WHEN chunk IN (SELECT chunk FROM c) THEN 0.5::DOUBLE ELSE round(CASE WHEN len(ws) = 0 THEN 0 ELSE len(list_filter(ws, lambda t: contains(lower(chunk), t)))::DOUBLE / len(ws) END, 6) END AS rerank, chunk IN (SELECT chunk FROM c) AS cached FROM x""",
         "hybrid_query_mock": _hybrid_sql(), "structured_search_mock": _structured_sql(),

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import fulltext as ft
 from ..sources import derived
 from ..sources.tables import read_table
-from .query_language import parse_lexical, validate_lexical, validate_semantic
+from ..functions.query_language import parse_lexical, validate_lexical, validate_semantic
 
 QUERIES = {
     "bm25_prefix_top20": dict(queries=[(1, "the"), (2, "und"), (3, "que")]),

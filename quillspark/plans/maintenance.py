@@ -58,12 +58,12 @@ def _collections(s, d):
 
 
 def _names(s, d):
-    docs = _docs(s, d).where("doc_id < 40")
+    docs = _docs(s, d).where("doc_id % 20 = 0")
     forms = F.array(F.left("hash", F.lit(8)), F.concat(F.lit("#"), F.left("hash", F.lit(6))), F.concat(F.lit(f"{derived.SCHEME}://"), "collection", F.lit("/"), "path"), F.concat("path", F.lit(":12")), F.concat(F.lit("zz"), "path"))
     return docs.select(F.explode(forms).alias("query")).distinct()
 
 
-_NAMES = """names AS (SELECT DISTINCT unnest([left(hash, 8), '#' || left(hash, 6), 'quill://' || collection || '/' || path, path || ':12', 'zz' || path]) AS query FROM docs WHERE doc_id < 40),
+_NAMES = """names AS (SELECT DISTINCT unnest([left(hash, 8), '#' || left(hash, 6), 'quill://' || collection || '/' || path, path || ':12', 'zz' || path]) AS query FROM docs WHERE doc_id % 20 = 0),
 nq AS (SELECT query, regexp_replace(query, ':[0-9]+$', '') AS q FROM names),
 vp AS (SELECT collection, path, hash, 'quill://' || collection || '/' || path AS v, length(body) AS size FROM docs WHERE active),
 st AS (SELECT query, collection, path, v, size, CASE WHEN regexp_matches(ltrim(q, '#'), '^[0-9a-fA-F]{6,}$') THEN CASE WHEN starts_with(hash, lower(ltrim(q, '#'))) THEN 1 END WHEN v = q THEN 2 WHEN ends_with(lower(v), lower(q)) THEN 3 END AS stage FROM vp, nq),
@@ -76,7 +76,7 @@ def docid_lookup(s, d):
 
 
 def similar_files(s, d):
-    wanted = _docs(s, d).where("doc_id % 97 = 3").select(F.regexp_replace("path", "\\.md$", ".nd").alias("query"))
+    wanted = _docs(s, d).where("doc_id % 20 = 0").select(F.regexp_replace("path", "\\.md$", ".nd").alias("query"))
     return lookup.similar(_docs(s, d), wanted, 2, 5)
 
 
@@ -116,7 +116,7 @@ def queries() -> dict:
         "list_contexts": lambda s, d: context.listing(_contexts(s).join(_collections(s, d), F.col("collection") == F.col("name"), "left_semi"), GLOBAL),
         "find_document_staged": lambda s, d: lookup.find(_docs(s, d), _names(s, d)),
         "find_by_docid": docid_lookup,
-        "multi_get_glob": lambda s, d: lookup.multi_get(_docs(s, d), "src[1-3]/{en,fr}/*5?.md", 3000),
+        "multi_get_glob": lambda s, d: lookup.multi_get(_docs(s, d), "src[1-3]/{en,fr}/*6?.md", 3000),
         "multi_get_comma": lambda s, d: lookup.multi_get_list(_docs(s, d), _names(s, d), 3000),
         "multi_get_size_skip": lambda s, d: lookup.with_size_limit(_docs(s, d), 3000),
         "similar_files": similar_files,
@@ -162,10 +162,10 @@ UNION ALL SELECT n.collection, n.path, n.hash, true, CASE WHEN s.path IS NULL TH
         "find_document_staged": f"{d}, {_NAMES} SELECT n.query, {_HOW}, collection, path FROM names n LEFT JOIN best b USING (query)",
         "find_by_docid": f"""{d}, {_NAMES}, h AS (SELECT query, doc_id, path, hash FROM docs, names WHERE active AND regexp_matches(ltrim(query, '#'), '^[0-9a-fA-F]{{6,}}$') AND starts_with(hash, lower(ltrim(query, '#'))))
 SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY path, doc_id) = 1""",
-        "multi_get_glob": f"{d} SELECT doc_id, collection, path, CAST(length(body) AS INT) AS size, {size} AS reason FROM docs WHERE active AND regexp_matches(collection || '/' || path, '^src[1-3]/(en|fr)/.*5.\\.md$')",
+        "multi_get_glob": f"{d} SELECT doc_id, collection, path, CAST(length(body) AS INT) AS size, {size} AS reason FROM docs WHERE active AND regexp_matches(collection || '/' || path, '^src[1-3]/(en|fr)/.*6.\\.md$')",
         "multi_get_comma": f"{d}, {_NAMES} SELECT n.query, {_HOW}, path, CASE WHEN size > 3000 THEN 'File too large (' || CAST(round(size / 1024.0::DOUBLE) AS INT) || 'KB > 3KB)' END AS reason FROM names n LEFT JOIN best b USING (query)",
         "multi_get_size_skip": f"{d} SELECT doc_id, collection, path, CAST(length(body) AS INT) AS size, {size} AS reason FROM docs",
-        "similar_files": f"""{d}, w AS (SELECT regexp_replace(path, '\\.md$', '.nd') AS query FROM docs WHERE doc_id % 97 = 3), p AS (SELECT DISTINCT path FROM docs WHERE active),
+        "similar_files": f"""{d}, w AS (SELECT regexp_replace(path, '\\.md$', '.nd') AS query FROM docs WHERE doc_id % 20 = 0), p AS (SELECT DISTINCT path FROM docs WHERE active),
 l AS (SELECT query, path, CAST(levenshtein(lower(path), lower(query)) AS INT) AS distance FROM p, w)
 SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, path) AS INT) AS rank, path, distance FROM l WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, path) <= 5""",
         "ls_prefix": f"{d} SELECT path, title, CAST(length(body) AS INT) AS size, modified_at FROM docs WHERE active AND collection = 'src3' AND starts_with(path, 'en/')",

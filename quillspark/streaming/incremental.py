@@ -21,6 +21,7 @@ def apply_batch(index: Index, rows: DataFrame) -> None:
     fresh = new.select(F.xxhash64("collection", "path").alias("doc_id"), "collection", "path", "title", "hash", F.col("modified_at").alias("created_at"), "modified_at", F.lit(True).alias("active"))
     old = index.table("documents").select(*fresh.columns)
     index.write("documents", catalog.upsert(old, fresh))
+    index.index_texts(fresh.select("doc_id"))
     new.unpersist()
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions.paths import glob_to_regex, handelize
 from quillspark.operators import chunking, fulltext, fusion
-from quillspark.plans import query_language as ql
+from quillspark.functions import query_language as ql
 from quillspark.plans import registry
 
 SF = "/root/testdata/sf0.001"

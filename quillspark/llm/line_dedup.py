@@ -321,5 +321,9 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: doc_id, n_lines, n_removed, and the SHA-256 of the text that is left (null: of the empty text).
+
+    Of rows with equal ids the content decides which lines are whose; an empty table gives no rows.
+    """
     out = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))

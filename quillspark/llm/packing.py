@@ -181,4 +181,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is its end id alone; repeated rows are documents of their own.
+    """
     return pack_documents(spark, read_table(spark, sf_dir, "documents"), sf_dir)

@@ -337,6 +337,10 @@ def spelled(spans: Column) -> Column:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: doc_id, the counts of base kinds, a digest of base spans, and all spans as text.
+
+    A null text is empty and has none; repeated rows are read one by one.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = find(docs, train(docs))
     base, added = F.col("base_spans"), F.col("added_spans")

@@ -183,6 +183,10 @@ def score(documents: DataFrame, model: Model | None, text: str = "text", key: st
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: doc_id, held_out, score, predicted.
+
+    Null and empty texts get the score of a text without words; repeated rows are scored one by one.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, train(docs, read_table(spark, sf_dir, "labels")))
     return out.select("doc_id", in_holdout(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -249,6 +249,10 @@ def filter_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: doc_id, its statistics, base_failed and kept.
+
+    A null or empty text has no words and fails the base rule; repeated rows are judged one by one.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = train(docs, read_table(spark, sf_dir, "labels"))
     return judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

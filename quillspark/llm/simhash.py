@@ -390,5 +390,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: doc_id, fingerprint, component_id.
+
+    Texts without words have fingerprint zero, linked like any other; rows with null ids take part
+    but never name a component.
+    """
     out = components(fingerprints(read_table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

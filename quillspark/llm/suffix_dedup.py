@@ -268,4 +268,8 @@ def remove_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id"
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    A null text is empty; rows that are wholly equal are copies of each other.
+    """
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")

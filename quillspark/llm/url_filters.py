@@ -145,6 +145,11 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a page: page_id, host, path, rule, verdict.
+
+    A null url, or one without "://", has an empty host and path and is judged by the tree of that
+    host.
+    """
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     out = judge(pages, labelled_urls(pages, read_table(spark, sf_dir, "labels")))
     return out.select("page_id", "host", "path", "rule", "verdict")

@@ -183,6 +183,10 @@ def merge_index(captures: DataFrame, range_records: int = RANGE_RECORDS, run_rec
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a page: page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from the archives.
+
+    A null html is an empty payload, always a response of its own.
+    """
     path = scratch_path(spark, "warc")
     write_archives(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     index = merge_index(staged(read_archives(spark, path), "captures"))

@@ -11,9 +11,11 @@ CJK_CLASS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 
 # Words that carry no intent.
 INTENT_STOP_WORDS = (
-    "am an as at be by do he if in is it me my no of on or so to up us we all and any are but can did for get has her him his how its let may not our out the too was "
-    "who why you also does find from have into more need show some tell that them this want what when will with your about looking notes search where which"
-).split()
+    "am", "an", "as", "at", "be", "by", "do", "he", "if", "in", "is", "it", "me", "my", "no", "of", "on", "or", "so", "to", "up", "us", "we", "all",
+    "and", "any", "are", "but", "can", "did", "for", "get", "has", "her", "him", "his", "how", "its", "let", "may", "not", "our", "out", "the", "too",
+    "was", "who", "why", "you", "also", "does", "find", "from", "have", "into", "more", "need", "show", "some", "tell", "that", "them", "this", "want",
+    "what", "when", "will", "with", "your", "about", "looking", "notes", "search", "where", "which",
+)
 # File endings and the language whose syntax guides chunking.
 LANGUAGES = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "jsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust"}
 

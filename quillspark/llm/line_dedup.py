@@ -235,7 +235,9 @@ def _alike_beside_centers(near: DataFrame, similarity: float) -> DataFrame:
     most = (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
     both = F.greatest((F.col("differing_a") + F.col("differing_b") - most) / 2, F.lit(0))
     expected = both / (F.col("differing_a") + F.col("differing_b") - both) - TURN_SLACK
-    may = F.size(F.array_intersect("turns_a", "turns_b")) >= expected * F.least(F.size("turns_a"), F.size("turns_b"))
+    shared = F.array_intersect("turns_a", "turns_b")
+    # a pair meets at each hash it shares, and counts at the least of them
+    may = (F.size(shared) >= expected * F.least(F.size("turns_a"), F.size("turns_b"))) & (F.array_min(shared) == F.col("turn_a"))
     meet = (F.col("center_a") == F.col("center_b")) & (F.col("turn_a") == F.col("turn_b")) & ((F.col("nearest_a") != F.col("nearest_b")) | (F.col("nearest_a") == F.col("center_a")))
     return one.where("not linked_a").join(two, meet & (F.col("linked_b") | (F.col("id_a") < F.col("id_b"))) & may).select("id_a", "id_b").distinct()
 

@@ -340,7 +340,7 @@ x AS (SELECT doc_id, query, chunk, list_filter(regexp_split_to_array(lower(query
 SELECT doc_id, query, CASE WHEN chunk IN (SELECT chunk FROM c) THEN 0.5::DOUBLE ELSE round(CASE WHEN len(ws) = 0 THEN 0 ELSE len(list_filter(ws, lambda t: contains(lower(chunk), t)))::DOUBLE / len(ws) END, 6) END AS rerank, chunk IN (SELECT chunk FROM c) AS cached FROM x""",
         "hybrid_query_mock": _hybrid_sql(), "structured_search_mock": _structured_sql(),
         "metrics_precision_recall_mrr_f1": f"{_SCORES} SELECT * FROM sc",
-        "bench_summary": f"{_SCORES} SELECT backend, count(*) AS queries, round(avg(precision_at_k), 6) AS avg_precision_at_k, round(avg(recall), 6) AS avg_recall, round(avg(mrr), 6) AS avg_mrr, round(avg(f1), 6) AS avg_f1 FROM sc GROUP BY 1",
+        "bench_summary": f"{_SCORES} SELECT backend, count(*) AS queries, round(sum(CAST(precision_at_k AS DECIMAL(18,6)))::DOUBLE / count(*), 6) AS avg_precision_at_k, round(sum(CAST(recall AS DECIMAL(18,6)))::DOUBLE / count(*), 6) AS avg_recall, round(sum(CAST(mrr AS DECIMAL(18,6)))::DOUBLE / count(*), 6) AS avg_mrr, round(sum(CAST(f1 AS DECIMAL(18,6)))::DOUBLE / count(*), 6) AS avg_f1 FROM sc GROUP BY 1",
         "hit_at_k": f"{_SCORES} SELECT query_id, round(avg((recall_at_1 > 0)::INT), 6) AS hit_at_1, round(avg((recall_at_3 > 0)::INT), 6) AS hit_at_3, round(avg((recall_at_5 > 0)::INT), 6) AS hit_at_5 FROM sc GROUP BY 1",
         "hits_csv_line": f"{hs} SELECT query_id, rank, concat_ws(',', docid, format('{{:.4f}}', round(score, 4)), {csv('file')}, {csv('title')}, {csv('coalesce(context, chr(0))').replace('chr(0)', chr(39) * 2)}, line, {csv('snippet')}) AS value FROM h",
         "hits_files_line": f"{hs} SELECT query_id, rank, '#' || docid || ',' || format('{{:.2f}}', round(score, 2)) || ',' || file || coalesce(',\"' || context || '\"', '') AS value FROM h",

@@ -35,6 +35,8 @@ LEGAL = frozenset(("su", "ua", "au"))
 #: After them the conversation may end.
 FINAL = frozenset(("", "a"))
 FAR = 1 << 60
+#: What any end of a conversation costs more, at most, after the inner initial than after the outer one.
+DETOURS = {"": {"a": DELETE, "u": DELETE + INSERT}, "s": {"a": 0, "u": INSERT}, "u": {"a": INSERT}, "a": {"u": INSERT}}
 
 REPAIRED = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
 
@@ -165,6 +167,8 @@ class Repair:
                     best[q] = now
         if ends is not None:  # the conversation is over
             best = dict([min(best.items(), key=lambda x: x[1][:2])])
+        # a way that costs more than another one and the detour from there can't become the cheapest
+        best = {q: x for q, x in best.items() if all(p not in best or x[0] <= best[p][0] + more for p, more in DETOURS.get(q, {}).items())}
         ways = {q: (cost, audit, *self._text(state, edits)) for q, (cost, audit, state, edits) in best.items()}
         known = _common([x[1] for x in ways.values()])
         if known:

@@ -9,7 +9,7 @@ sifted by Manhattan distance and verified by Hamming distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -31,8 +31,8 @@ SET_SHINGLE_WORDS, SIMILARITY = 5, 0.8
 WIDE, WIDE_RADIUS = 2, 36
 #: A wide cell is a choice of segments, few enough that so many rows meet in it by chance; there are as many choices as bring RECALL of the pairs at SIMILARITY together.
 CELL_ROWS, RECALL = 64, 0.995
-#: Cells of up to so many rows are compared as a whole.
-SMALL_CELL = 256
+#: Rows of other components that a row looks for in a cell at first.
+FIRST_REACH = 64
 #: Segments of two bits: as many values as matter, and the tightest bound short of the bits themselves.
 SEGMENTS = 32
 _PAIRS_A_ROW = 64
@@ -275,20 +275,8 @@ def wide_choices(rows: int, similarity: float = SIMILARITY) -> np.ndarray:
 
 
 def nearest_tree(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect the rows of one cell as all its pairs within ``radius`` do, over the nearest pairs: those most likely similar."""
-    n = len(fp)
-    if n > SMALL_CELL:
-        edges = [e for r in (radius // 3, 2 * radius // 3, radius) for e in forest(fp, r)]
-    else:
-        a, b = np.triu_indices(n, 1)
-        counts = popcounts(fp)
-        near = np.flatnonzero(_manhattan(counts[a], counts[b]).sum(1) <= radius)
-        a, b = a[near], b[near]
-        far = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64)
-        order = np.argsort(far, kind="stable")
-        order = order[far[order] <= radius]
-        edges = list(zip(a[order].tolist(), b[order].tolist(), strict=True))
-    parent = list(range(n))
+    """Edges that connect the rows of one cell as all its pairs within ``radius`` do, over near pairs before farther ones."""
+    parent = list(range(len(fp)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -297,20 +285,44 @@ def nearest_tree(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
         return i
 
     out = []
-    for i, j in edges:
-        x, y = root(i), root(j)
-        if x != y:
-            parent[x] = y
-            out.append((i, j))
+    for r in (radius // 3, 2 * radius // 3, radius):
+        for i, j in forest(fp, r):
+            x, y = root(i), root(j)
+            if x != y:
+                parent[x] = y
+                out.append((i, j))
     return out
 
 
-def wide_links(classes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """Pairs (a, b) of classes (shingles, fp0, ..) that may be similar: the nearest ones that connect each grid cell."""
+def between_labels(fp: np.ndarray, label: np.ndarray, radius: int, reach: int) -> list[tuple[int, int, bool]]:
+    """(row, partner, whether these are all): for each row of one cell its ``reach`` nearest rows within ``radius`` that have another label.
+
+    Rows with the cell's most frequent label look for nobody: whoever has another label looks for them.
+    """
+    kinds, first, many = np.unique(label, return_index=True, return_counts=True)
+    if len(kinds) < 2:
+        return []
+    counts, out = popcounts(fp), []
+    for i in np.flatnonzero(label != kinds[int(np.argmax(many))]).tolist():
+        others = np.flatnonzero(label != label[i])
+        near = others[_near(fp, counts, i, others, radius)]
+        if len(near):
+            far = np.bitwise_count(fp[near] ^ fp[i]).sum(1, dtype=np.int64)
+            chosen = near[np.argsort(far, kind="stable")[:reach]]
+            out += [(i, j, len(near) <= reach) for j in chosen.tolist()]
+    return out
+
+
+def wide_links(classes: DataFrame, masks: np.ndarray, radius: int = WIDE_RADIUS, reach: int = 0) -> DataFrame:
+    """Pairs (a, b, whole) of ``classes`` (shingles, label, fp0, ..) that may be similar, found in the grid cells of ``masks``.
+
+    Without ``reach``: trees that connect each cell over its near pairs.  With
+    it: each row's so many nearest rows of other labels; not ``whole`` if it has more.
+    """
     ship(classes.sparkSession)
-    masks = wide_choices(classes.count())
     names = [f"fp{k}" for k in range(WIDE)]
-    schema = f"cell long, shingles long, {', '.join(f'{n} long' for n in names)}"
+    columns = ["shingles", "label", *names]
+    schema = f"cell long, {', '.join(f'{n} long' for n in columns)}"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,18 +332,22 @@ def wide_links(classes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
                 for word in ((counts & mask) + np.uint64(1)).T:
                     cell = (cell ^ word) * np.uint64(0x9E3779B97F4A7C15)
                     cell ^= cell >> np.uint64(29)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), b.column("shingles"), *(b.column(n) for n in names)], ["cell", "shingles", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *(b.column(n) for n in columns)], ["cell", *columns])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the last cell of the batches before
 
         def solve(rows: pa.Table) -> pa.RecordBatch:
-            cell, node = rows["cell"].to_numpy(), rows["shingles"].to_numpy()
+            cell, node, label = (rows[n].to_numpy() for n in ("cell", "shingles", "label"))
             fp = np.stack([rows[n].to_numpy().view(np.uint64) for n in names], axis=1)
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
-            got = [(node[a + i], node[a + j]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b - a > 1 for i, j in nearest_tree(fp[a:b], radius)]
-            pairs = np.array(got, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs.min(1) if len(pairs) else pairs[:, 0]), pa.array(pairs.max(1) if len(pairs) else pairs[:, 1])], ["a", "b"])
+            got = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if b - a > 1:
+                    own = between_labels(fp[a:b], label[a:b], radius, reach) if reach else [(i, j, False) for i, j in nearest_tree(fp[a:b], radius)]
+                    got += [(node[a + i], node[a + j], whole) for i, j, whole in own]
+            pairs = np.array([x[:2] for x in got], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs.min(1) if len(pairs) else pairs[:, 0]), pa.array(pairs.max(1) if len(pairs) else pairs[:, 1]), pa.array([x[2] for x in got], pa.bool_())], ["a", "b", "whole"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -345,8 +361,37 @@ def wide_links(classes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    placed = classes.select("shingles", *names).mapInArrow(place, schema)
-    return placed.repartition("cell").sortWithinPartitions("cell", *names).mapInArrow(meet, "a long, b long").distinct()
+    placed = classes.select(*columns).mapInArrow(place, schema)
+    met = placed.repartition("cell").sortWithinPartitions("cell", *names).mapInArrow(meet, "a long, b long, whole boolean")
+    return met.groupBy("a", "b").agg(F.min("whole").alias("whole"))
+
+
+def wide_components(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], first_reach: int = FIRST_REACH) -> DataFrame:
+    """(node, component) of the ``classes`` (shingles, fp0, ..) that are linked by similarity; ``texts`` gives (shingles, text) of a table of (shingles).
+
+    Trees of near pairs come first, and what passes the exact check is
+    connected.  Then every class that has another one near looks for its
+    nearest ones in other components, for four times as many each round, until
+    a round leaves none out.  So each pair within the radius that shares a
+    cell either lies in one component or has failed the exact check.
+    """
+    masks = wide_choices(classes.count())
+    tested = staged(wide_links(classes.withColumn("label", F.col("shingles")), masks).select("a", "b"), "wide-pairs")
+    near = staged(classes.join(tested.select(F.explode(F.array("a", "b")).alias("shingles")).distinct(), "shingles", "left_semi"), "wide-near")
+    bodies = staged(texts(near.select("shingles")), "wide-texts")
+    good, reach = staged(similar(tested, bodies), "wide-good"), first_reach
+    while True:
+        nodes = staged(connected_components(good), "wide-nodes")
+        labelled = near.join(nodes, F.col("shingles") == F.col("node"), "left").withColumn("label", F.coalesce("component", "shingles"))
+        found = staged(wide_links(labelled, masks, reach=reach), "wide-pairs")
+        left_out = not found.where("not whole").isEmpty()
+        fresh = staged(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), "wide-pairs")
+        passed = staged(similar(fresh, bodies), "wide-good")
+        new = not passed.isEmpty()
+        good, tested = good.unionByName(passed), tested.unionByName(fresh)
+        if not left_out:
+            return connected_components(good) if new else nodes
+        reach *= 4
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, size: int = SET_SHINGLE_WORDS) -> DataFrame:
@@ -379,10 +424,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marks = staged(wide_marks(named), "wide-marks")
     kinds = ["shingles", *(f"fp{k}" for k in range(WIDE))]
     classes = staged(marks.groupBy(*kinds).agg(F.min(F.struct("doc_id", "content")).alias("first")), "wide-classes")
-    pairs = staged(wide_links(classes), "wide-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("shingles")).distinct().join(classes, "shingles").select("shingles", F.col("first.doc_id").alias("d"), F.col("first.content").alias("c"))
-    texts = named.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("content") == F.col("c"))).dropDuplicates(["shingles"]).select("shingles", "text")
-    nodes = connected_components(similar(pairs, staged(texts, "wide-texts")))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        one = wanted.join(classes, "shingles").select("shingles", F.col("first.doc_id").alias("d"), F.col("first.content").alias("c"))
+        return named.join(one, (F.col("doc_id") == F.col("d")) & (F.col("content") == F.col("c"))).dropDuplicates(["shingles"]).select("shingles", "text")
+
+    nodes = wide_components(classes, texts)
     heads = classes.join(nodes, F.col("shingles") == F.col("node"), "left").groupBy(F.coalesce("component", "shingles")).agg(F.min("first").alias("first"))
     keep = heads.select(F.col("first.doc_id").alias("__id"), F.col("first.content").alias("__content"))
     kept = docs.withColumn("__c", content).join(keep, (F.col("doc_id") == F.col("__id")) & (F.col("__c").eqNullSafe(F.col("__content"))), "left_semi").dropDuplicates(["doc_id", "__c"]).drop("__c")

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 from quillspark.llm import components as c
@@ -131,6 +132,36 @@ def test_stage_against_brute_force(spark):
     assert len(kept - want) <= 0.02 * (len(texts) - len(want))
 
 
+@pytest.mark.parametrize(("many", "edits"), [(600, 12), (1500, 8)])
+def test_stage_on_dense_families(spark, many, edits):
+    rng = random.Random(many + edits)
+    base = [f"base{rng.randrange(10**9)}" for _ in range(150)]
+    texts = [" ".join(f"other{rng.randrange(10**9)}" for _ in range(rng.randrange(20, 120))) for _ in range(1000)]
+    for _ in range(many):
+        own = list(base)
+        for k in rng.sample(range(150), rng.randrange(1, edits + 1)):
+            own[k] = f"changed{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    rng.shuffle(texts)
+    _, group = near_by_hand(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in s.keep_one(spark, docs, "").collect()}
+    want = set(group)
+    print(f"{len(texts) - len(want)} must go, {len(kept - want)} of them stay, {len(want - kept)} go wrongly")
+    assert want <= kept and len(kept - want) <= 0.01 * (len(texts) - len(want))
+
+
+def test_rows_look_for_other_labels_only():
+    rng = np.random.default_rng(3)
+    fp = np.zeros((9, 2), np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (9, 2), dtype=np.uint64))
+    label = np.array([1, 1, 1, 1, 2, 2, 3, 4, 4])
+    got = s.between_labels(fp, label, 4, 100)
+    assert {(i, j) for i, j, _ in got} == {(i, j) for i in range(4, 9) for j in range(9) if label[i] != label[j]} and all(w for *_, w in got)
+    some = s.between_labels(fp, label, 4, 2)
+    assert len(some) == 10 and not any(w for *_, w in some)
+    assert s.between_labels(fp[:4], label[:4], 4, 2) == []
+
+
 def test_trees_connect_what_pairs_do():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**64, (40, 2), dtype=np.uint64)

@@ -48,32 +48,31 @@ def lengths(tokens_: DataFrame) -> DataFrame:
     return tokens_.groupBy("doc_id").agg(F.count("*").alias("dl"))
 
 
-#: Stored postings lie in so many folders, by a hash of the term; a search opens those of its terms only.
-BUCKETS = 64
-
-
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
 def matches(term: Column, items: DataFrame) -> Column:
     """Whether a term is a token of ``items``, or begins with one that is a prefix."""
     return F.when(items["prefix"], term.startswith(items["token"])).otherwise(term == items["token"])
 
 
-def stored_tokens(stored: DataFrame, terms: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of :func:`token_table` for the terms that ``items`` ask for, from stored postings.
+#: Terms that a scan is asked for by name.  More are asked for by their range, and sorted out after it.
+NAMED_TERMS = 200
+Item = tuple[int, int, bool, bool, int, int, str]
 
-    Items meet the vocabulary ``terms`` first; of the postings (bucket,
-    doc_id, col, term, tf, positions) only the buckets of what matches are read.
-    """
-    wanted = terms.join(F.broadcast(items.select("prefix", "token").distinct()), matches(F.col("term"), items)).select("term").distinct()
-    folders = sorted(r["bucket"] for r in wanted.select(bucket(F.col("term")).alias("bucket")).distinct().collect())  # at most BUCKETS
-    rows = stored.where(F.col("bucket").isin(folders)).join(wanted, "term", "left_semi")
-    return rows.select("doc_id", "col", F.explode("positions").alias("pos"), "term")
 
+def asked_terms(items: list[Item]) -> Column:
+    """A condition on ``term`` that every term which ``items`` ask for meets, in a form that Parquet scans understand."""
+    asked = sorted({(x[6], x[3]) for x in items})
+    if not asked:
+        return F.lit(False)
+    term = F.col("term")
+    if len(asked) > NAMED_TERMS:
+        return (term >= asked[0][0]) & (term <= max(t for t, _ in asked) + "\U0010ffff")
+    out = F.lit(False)
+    for token, prefix in asked:
+        out = out | (term.startswith(token) if prefix else term == token)
+    return out
 
-def query_items(spark: SparkSession, queries: list[tuple[int, str]], stem: bool = False) -> DataFrame:
+
+def item_rows(queries: list[tuple[int, str]], stem: bool = False) -> list[Item]:
     """(query_id, item, negated, prefix, k, m, token): a row for each token of each item of each query."""
     shape = porter if stem else (lambda t: t)
     rows = []
@@ -82,9 +81,18 @@ def query_items(spark: SparkSession, queries: list[tuple[int, str]], stem: bool
             for k, t in enumerate(item.tokens or ("\u0000",)):
                 last = k == max(0, len(item.tokens) - 1)
                 rows.append((q, i, item.negated, item.prefix and last, k, max(1, len(item.tokens)), shape(t)))
+    return rows
+
+
+def items_frame(spark: SparkSession, rows: list[Item]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id int, item int, negated boolean, prefix boolean, k int, m int, token string")
 
 
+def query_items(spark: SparkSession, queries: list[tuple[int, str]], stem: bool = False) -> DataFrame:
+    """The rows of :func:`item_rows` as a table."""
+    return items_frame(spark, item_rows(queries, stem))
+
+
 def occurrences(tokens_: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, item, negated, doc_id, col, occ): how often each item occurs in each column of each document.
 

@@ -3,26 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import catalog
 from ..plans.index import Index
 
 
 def apply_batch(index: Index, rows: DataFrame) -> None:
-    """Upserts ``rows`` (collection, path, title, body, modified_at); of rows for one path the latest counts.
+    """Upserts ``rows`` (collection, path, title, body, modified_at) and merges segments when there are many.
 
     Applying a batch again changes nothing, so a restarted stream is safe.
     """
-    latest = rows.groupBy("collection", "path").agg(F.max_by(F.struct("title", "body", "modified_at"), F.struct("modified_at", "body")).alias("x")).select("collection", "path", "x.*")
-    new = latest.withColumn("hash", F.sha2("body", 256)).cache()
-    index.write("content", index.table("content").unionByName(catalog.new_content(index.table("content"), new.select("hash", F.col("body").alias("doc")))))
-    fresh = new.select(F.xxhash64("collection", "path").alias("doc_id"), "collection", "path", "title", "hash", F.col("modified_at").alias("created_at"), "modified_at", F.lit(True).alias("active"))
-    old = index.table("documents").select(*fresh.columns)
-    index.write("documents", catalog.upsert(old, fresh))
-    index.index_texts(fresh.select("doc_id"))
-    new.unpersist()
+    index.upsert(rows)
+    index.tidy()
 
 
 def follow(index: Index, stream: DataFrame, checkpoint: str) -> StreamingQuery:

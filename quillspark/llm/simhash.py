@@ -10,6 +10,7 @@ sifted by Manhattan distance and verified by Hamming distance.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -31,6 +32,8 @@ SET_SHINGLE_WORDS, SIMILARITY = 5, 0.8
 WIDE, WIDE_RADIUS = 2, 36
 #: A wide cell is a choice of segments, few enough that so many rows meet in it by chance; there are as many choices as bring RECALL of the pairs at SIMILARITY together.
 CELL_ROWS, RECALL = 64, 0.995
+#: Cells of up to so many rows are compared in one step.
+AT_ONCE = 256
 #: Rows of other components that a row looks for in a cell at first.
 FIRST_REACH = 64
 #: Segments of two bits: as many values as matter, and the tightest bound short of the bits themselves.
@@ -285,25 +288,52 @@ def nearest_tree(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
         return i
 
     out = []
-    for r in (radius // 3, 2 * radius // 3, radius):
-        for i, j in forest(fp, r):
-            x, y = root(i), root(j)
-            if x != y:
-                parent[x] = y
-                out.append((i, j))
+    if len(fp) <= AT_ONCE:
+        a, b, far = _near_pairs(fp, radius)
+        order = np.argsort(far, kind="stable")
+        edges = zip(a[order].tolist(), b[order].tolist(), strict=True)
+    else:
+        edges = (e for r in (radius // 3, 2 * radius // 3, radius) for e in forest(fp, r))
+    for i, j in edges:
+        x, y = root(i), root(j)
+        if x != y:
+            parent[x] = y
+            out.append((i, j))
     return out
 
 
+def _near_pairs(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (i < j) of the rows of a small cell within ``radius``, and how far they are; sifted by Manhattan distance."""
+    a, b = _triangle(len(fp))
+    counts = popcounts(fp)
+    near = np.flatnonzero(_manhattan(counts[a], counts[b]).sum(1) <= radius)
+    a, b = a[near], b[near]
+    far = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64)
+    keep = far <= radius
+    return a[keep], b[keep], far[keep]
+
+
+@lru_cache(AT_ONCE + 1)
+def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def between_labels(fp: np.ndarray, label: np.ndarray, radius: int, reach: int) -> list[tuple[int, int, bool]]:
     """(row, partner, whether these are all): for each row of one cell its ``reach`` nearest rows within ``radius`` that have another label.
 
     Rows with the cell's most frequent label look for nobody: whoever has another label looks for them.
     """
-    kinds, first, many = np.unique(label, return_index=True, return_counts=True)
+    kinds, many = np.unique(label, return_counts=True)
     if len(kinds) < 2:
         return []
-    counts, out = popcounts(fp), []
-    for i in np.flatnonzero(label != kinds[int(np.argmax(many))]).tolist():
+    counts, out, looking = popcounts(fp), [], label != kinds[int(np.argmax(many))]
+    if len(fp) <= AT_ONCE:  # in the end the same, but rows that nothing is near cost nothing
+        a, b, _ = _near_pairs(fp, radius)
+        other = label[a] != label[b]
+        met = np.zeros(len(fp), bool)
+        met[a[other]] = met[b[other]] = True
+        looking &= met
+    for i in np.flatnonzero(looking).tolist():
         others = np.flatnonzero(label != label[i])
         near = others[_near(fp, counts, i, others, radius)]
         if len(near):
@@ -378,7 +408,7 @@ def wide_components(classes: DataFrame, texts: Callable[[DataFrame], DataFrame],
     masks = wide_choices(classes.count())
     tested = staged(wide_links(classes.withColumn("label", F.col("shingles")), masks).select("a", "b"), "wide-pairs")
     near = staged(classes.join(tested.select(F.explode(F.array("a", "b")).alias("shingles")).distinct(), "shingles", "left_semi"), "wide-near")
-    bodies = staged(texts(near.select("shingles")), "wide-texts")
+    bodies = staged(shingle_sets(texts(near.select("shingles"))), "wide-sets")
     good, reach = staged(similar(tested, bodies), "wide-good"), first_reach
     while True:
         nodes = staged(connected_components(good), "wide-nodes")
@@ -394,17 +424,32 @@ def wide_components(classes: DataFrame, texts: Callable[[DataFrame], DataFrame],
         reach *= 4
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, size: int = SET_SHINGLE_WORDS) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose ``texts`` (shingles, text) have that Jaccard similarity of shingle sets."""
+def shingle_sets(texts: DataFrame, size: int = SET_SHINGLE_WORDS) -> DataFrame:
+    """(shingles, set): of each text (shingles, text) the sorted hashes of its shingles, eight bytes each."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), size)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("shingles"), pa.array(sets, pa.binary())], ["shingles", "set"])
+
+    return texts.select("shingles", "text").mapInArrow(run, "shingles long, set binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``sets`` (shingles, set) have that Jaccard similarity; pairs whose sizes rule it out never meet their sets."""
     ship(pairs.sparkSession)
-    one, two = (texts.select(F.col("shingles").alias(e), F.col("text").alias(f"text_{e}")) for e in "ab")
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    sizes = sets.select("shingles", (F.octet_length("set") / 8).alias("n"))
+    near = pairs.join(sizes.select(F.col("shingles").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("shingles").alias("b"), F.col("n").alias("nb")), "b")
+    near = near.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
+    one, two = (sets.select(F.col("shingles").alias(e), F.col("set").alias(f"set_{e}")) for e in "ab")
+    both = near.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                x, y = np.unique(shingle_hashes(x.as_py(), size)), np.unique(shingle_hashes(y.as_py(), size))
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

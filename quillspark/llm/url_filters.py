@@ -29,6 +29,8 @@ VARIABLE = (
 ALIKE_Z = 1.96
 PRIOR_WEIGHT = 4.0
 MIN_PURITY = 0.5
+#: How often the members of a branch are tested against the rest of it.
+BRANCH_PASSES = 3
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -71,8 +73,10 @@ def merged_branches(children: DataFrame, alike_z: float = ALIKE_Z) -> DataFrame:
 
     A segment that cannot be told from all its siblings together goes to
     branch 0.  The others, in the order of their rates of good labels, begin
-    a new branch where neighbours can be told apart.  Only labelled segments
-    come here, so a host's rows are bounded by its labels.
+    a new branch where neighbours can be told apart; then, a few times over,
+    whoever can be told from the rest of its branch leaves it and is one of
+    its own, so no chain of neighbours joins rates that differ.  Only labelled
+    segments come here, so a host's rows are bounded by its labels.
     """
     level = Window.partitionBy("host", "node")
     out = children.withColumns({"all_n": F.sum("n").over(level), "all_g": F.sum("g").over(level)})
@@ -81,9 +85,22 @@ def merged_branches(children: DataFrame, alike_z: float = ALIKE_Z) -> DataFrame:
     out = out.withColumn("rate", (F.col("g") + 0.5) / (F.col("n") + 1)).withColumns({"n0": F.lag("n").over(by), "g0": F.lag("g").over(by)})
     starts = F.col("n0").isNull() | (_apart(F.col("g"), F.col("n"), F.col("g0"), F.col("n0")) >= alike_z)
     out = out.withColumn("branch", F.when(F.col("own"), F.sum(starts.cast("int")).over(by)).otherwise(0))
-    same = Window.partitionBy("host", "node", "branch")
+    same = Window.partitionBy("host", "node", "branch", "alone")
+    out = out.withColumn("alone", F.lit(""))
+    for _ in range(BRANCH_PASSES):
+        out = out.withColumns({"n1": F.sum("n").over(same) - F.col("n"), "g1": F.sum("g").over(same) - F.col("g")})
+        leaves = F.col("own") & (_apart(F.col("g"), F.col("n"), F.col("g1"), F.col("n1")) >= alike_z)
+        out = out.withColumn("alone", F.when(leaves, F.col("segment")).otherwise(F.col("alone"))).drop("n1", "g1")
     out = out.withColumns({"branch_n": F.sum("n").over(same), "branch_g": F.sum("g").over(same), "members": F.count("*").over(same)})
-    return out.drop("rate", "n0", "g0", "own", "all_n", "all_g")
+    return out.drop("rate", "n0", "g0", "own", "all_g", "alone")
+
+
+def branching_levels(counts: DataFrame) -> list[int]:
+    """The levels (from 1) at which the labelled templates of some host have two segments or more; at all others no node has a choice."""
+    each = counts.where("labelled > 0").select("host", F.posexplode("template").alias("level", "segment"))
+    found = each.groupBy("host", "level").agg(F.min("segment").alias("a"), F.max("segment").alias("b")).where("a <> b").select("level").distinct()
+    # a template may end where others go on: its node has no such choice either
+    return sorted(r["level"] + 1 for r in found.collect())
 
 
 def template_verdicts(counts: DataFrame, prior_weight: float = PRIOR_WEIGHT, min_purity: float = MIN_PURITY, alike_z: float = ALIKE_Z) -> DataFrame:
@@ -91,21 +108,22 @@ def template_verdicts(counts: DataFrame, prior_weight: float = PRIOR_WEIGHT, min
 
     Purity is smoothed from the root down: at each level a branch has the
     counts of all its merged segments plus ``prior_weight`` pages of its
-    parent's purity.  Below the last label nothing changes, so the levels are
-    those of labelled templates; segments without labels keep their parent's
-    purity.
+    parent's purity.  A branch with all labels of its parent says nothing new
+    and keeps its purity, so only levels at which labelled templates of a host
+    differ are worked on; segments without labels keep their parent's purity.
     """
     overall = counts.agg(((F.sum("good") + 1) / (F.sum("labelled") + 2)).alias("overall"))
     hosts = counts.groupBy("host").agg(F.sum("labelled").alias("n"), F.sum("good").alias("g")).crossJoin(F.broadcast(overall))  # one row
     hosts = hosts.select("host", ((F.col("g") + prior_weight * F.coalesce("overall", F.lit(0.5))) / (F.col("n") + prior_weight)).alias("purity"))
-    frame = counts.join(hosts, "host").withColumn("node", F.lit(""))
-    depth = counts.where("labelled > 0").agg(F.max(F.size("template"))).first()[0] or 0
-    for level in range(1, depth + 1):
-        frame = frame.withColumn("segment", F.get("template", F.lit(level - 1)))
+    frame = counts.join(hosts, "host").withColumns({"node": F.lit(""), "done": F.lit(0)})
+    for level in branching_levels(counts):
+        # the segments of the levels between, which are the same for all labelled templates, go into the node's name
+        between = F.concat_ws("/", F.slice("template", F.col("done") + 1, F.greatest(F.lit(0), F.lit(level - 1) - F.col("done"))))
+        frame = frame.withColumns({"node": F.concat("node", F.lit("/"), between), "segment": F.get("template", F.lit(level - 1)), "done": F.lit(level)})
         children = frame.where("segment is not null and labelled > 0").groupBy("host", "node", "segment").agg(F.sum("labelled").alias("n"), F.sum("good").alias("g"), F.first("purity").alias("above"))
         merged = merged_branches(children, alike_z)
         name = F.when(F.col("members") > 1, F.concat(F.lit("*"), F.col("branch"))).otherwise(F.col("segment"))
-        purity = (F.col("branch_g") + prior_weight * F.col("above")) / (F.col("branch_n") + prior_weight)
+        purity = F.when(F.col("branch_n") == F.col("all_n"), F.col("above")).otherwise((F.col("branch_g") + prior_weight * F.col("above")) / (F.col("branch_n") + prior_weight))
         frame = frame.join(merged.select("host", "node", "segment", name.alias("name"), purity.alias("next")), ["host", "node", "segment"], "left")
         frame = frame.withColumn("purity", F.coalesce("next", "purity"))
         frame = frame.withColumn("node", F.when(F.col("segment").isNotNull(), F.concat("node", F.lit("/"), F.coalesce("name", F.lit("?")))).otherwise(F.concat("node", F.lit("$")))).drop("name", "next", "segment")

@@ -132,7 +132,7 @@ def test_stage_against_brute_force(spark):
     assert len(kept - want) <= 0.02 * (len(texts) - len(want))
 
 
-@pytest.mark.parametrize(("many", "edits"), [(600, 12), (1500, 8)])
+@pytest.mark.parametrize(("many", "edits"), [(600, 12), (1000, 8)])
 def test_stage_on_dense_families(spark, many, edits):
     rng = random.Random(many + edits)
     base = [f"base{rng.randrange(10**9)}" for _ in range(150)]

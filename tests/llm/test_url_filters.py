@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from quillspark.llm import url_filters as u
 
 URLS = [None, "", "no scheme", "http://EXAMPLE.com/en/1", "http://www.example.com/en/1?x", "https://a.www.Example.COM/en/", "http://com/", "http://com", "http://x.net/es/a#b", "http://net/fr/", "http://xnet/fr/",
@@ -68,3 +70,26 @@ def test_verdicts_on_held_out_labels(spark):
     right = sum((r.verdict == "allow") == (r.good == 1) for r in out)
     print(f"{right} of {len(out)} held-out urls judged as labelled")
     assert right >= 0.9 * len(out)
+
+
+def test_no_chain_joins_branches_that_differ(spark):
+    """Seven siblings, each near its neighbours in rate, beside a large one: the extremes are told from the rest of the chain."""
+    rows = [("h", "", f"s{k}", 30, round(30 * rate)) for k, rate in enumerate((0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65))] + [("h", "", "large", 3000, 2700)]
+    got = {r.segment: (r.branch_n, r.branch_g) for r in u.merged_branches(spark.createDataFrame(rows, "host string, node string, segment string, n long, g long")).collect()}
+    assert got["s0"][1] / got["s0"][0] < 0.2 and got["s6"][1] / got["s6"][0] > 0.5 and got["large"] == (3000, 2700)
+    for host, node, segment, n, g in rows[:7]:
+        pooled = got[segment][1] / got[segment][0]
+        assert abs(g / n - pooled) < 0.3
+    marks = spark.createDataFrame([(f"http://h.org/{s}/{i}", int(i < g)) for _, _, s, n, g in rows for i in range(n)], "url string, good int")
+    urls = spark.createDataFrame([(1, "http://h.org/s0/x1"), (2, "http://h.org/s6/x1"), (3, "http://h.org/large/x1")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in u.judge(urls, marks).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_only_levels_with_a_choice_are_worked_on(spark):
+    long = "/".join(f"p{k}" for k in range(400))
+    marks = [(f"http://a.org/{long}/x/{i}", 0) for i in range(9)] + [("http://a.org/" + long + "/y/1", 1)] * 9 + [("http://b.org/one", 1)]
+    urls = spark.createDataFrame([(1, f"http://a.org/{long}/x/7"), (2, f"http://a.org/{long}/y/7"), (3, "http://a.org/other/x/7"), (4, "http://b.org/two")], "page_id long, url string")
+    counts = spark.createDataFrame(marks, "url string, good int").select(u.parts(F.col("url"))[0].alias("host"), u.template(u.parts(F.col("url"))[1]).alias("template"), F.lit(1).alias("labelled"))
+    assert u.branching_levels(counts) == [401]
+    got = {r.page_id: r.verdict for r in u.judge(urls, spark.createDataFrame(marks, "url string, good int")).collect()}
+    assert got[1] == "block" and got[2] == got[4] == "allow"

@@ -30,7 +30,54 @@ def is_virtual_path(x: Column) -> Column:
 
 
 def is_absolute_path(x: Column) -> Column:
-    return x.rlike(r"^(?:/|[A-Za-z]:[/\\]|\\\\)")
+    """Whether a path begins with a slash or with a drive's letter and a colon."""
+    return x.rlike(r"^(?:/|[A-Za-z]:)")
+
+
+def slashes(x: Column) -> Column:
+    """A path with slashes for backslashes."""
+    return F.replace(x, F.lit("\\"), F.lit("/"))
+
+
+def relative_to(path: Column, prefix: Column) -> Column:
+    """The rest of ``path`` behind the folder ``prefix``, empty if it is the folder itself, null if it lies elsewhere or there is no prefix."""
+    p, q = slashes(path), slashes(prefix)
+    folder = F.when(q.endswith("/"), q).otherwise(F.concat(q, F.lit("/")))
+    return F.when(q == "", None).when(p == q, "").when(p.startswith(folder), F.substring(p, F.length(folder) + 1, F.length(p)))
+
+
+#: A drive, as in C:\\ or, as some shells write it, /c/; A and B are never written like the latter.
+_DRIVE, _SHELL_DRIVE = r"^([A-Za-z]:)", r"^/([c-zC-Z])/"
+
+
+def _placed(path: Column) -> Column:
+    """struct(drive, rest) of a path with slashes; no drive is an empty one."""
+    shell = F.regexp_extract(path, _SHELL_DRIVE, 1)
+    own = F.regexp_extract(path, _DRIVE, 1)
+    drive = F.when(own != "", own).when(shell != "", F.concat(F.upper(shell), F.lit(":"))).otherwise("")
+    return F.struct(drive.alias("drive"), F.when(drive != "", F.substring(path, F.lit(3), F.length(path))).otherwise(path).alias("rest"))
+
+
+def resolve_path(parts: Column, current: Column) -> Column:
+    """The absolute path that an array of path parts leads to from the folder ``current``.
+
+    An absolute part begins anew, with its drive or without one; dot segments
+    are folded away, and none leads above the root.  Null for no parts.
+    """
+    start = let(slashes(current), lambda c: F.struct(F.regexp_extract(c, _DRIVE, 1).alias("drive"), F.regexp_replace(c, _DRIVE, "").alias("rest")))
+
+    def add(so_far: Column, part: Column) -> Column:
+        joined = F.struct(so_far["drive"].alias("drive"), F.concat(so_far["rest"], F.lit("/"), part).alias("rest"))
+        return F.when(is_absolute_path(part), _placed(part)).otherwise(joined)
+
+    def fold(segments: Column) -> Column:
+        step = lambda out, s: F.when(s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(s)))
+        kept = F.filter(segments, lambda s: (s != "") & (s != "."))
+        return F.concat(F.lit("/"), F.array_join(F.aggregate(kept, F.array().cast("array<string>"), step), "/"))
+
+    where = F.aggregate(F.transform(parts, slashes), start, add)
+    whole = let(where, lambda w: F.concat(w["drive"], fold(F.split(w["rest"], "/", -1))))
+    return F.when(F.size(parts) > 0, whole)
 
 
 def is_collection_name(x: Column) -> Column:

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from .text import ACCENTED, PLAIN
 
 _CJK = re.compile(r"[ᄀ-ᇿ぀-ヿ㄰-㆏ㇰ-ㇿ㐀-䶿一-鿿가-힯豈-﫿]")
-_FOLD = str.maketrans(ACCENTED, PLAIN)
+_FOLD = str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, ACCENTED[len(PLAIN) :])
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,7 @@ def index_tokens(text: str) -> tuple[str, ...]:
     """Tokens as the index has them: runs of letters and digits in lower case, without accents."""
     out, run = [], []
     for c in text.lower().translate(_FOLD):
-        if unicodedata.category(c)[0] in "LN":
+        if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co":
             run.append(c)
         elif run:
             out.append("".join(run))

@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they are indexed as.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+# The combining marks that are no part of a token.  All other marks end one.
+MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
+
+
+def _folding() -> tuple[str, str]:
+    """Letters in lower case and what they are indexed as: a Latin letter with one mark as that letter, a letter that differs from its case folding as the latter."""
+    pairs = {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))):
+        if not c.isalpha() or c != c.lower():
+            continue
+        parts, plain = unicodedata.normalize("NFD", c), c.casefold()
+        if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha() and unicodedata.category(parts[1]) == "Mn":
+            pairs[c] = parts[0]
+        elif len(plain) == 1 and plain != c:
+            pairs[c] = plain
+    return "".join(pairs), "".join(pairs.values())
+
+
+#: The arguments of a translation that indexes letters without marks; the marks of MARKS have no counterpart and are dropped.
+ACCENTED, PLAIN = (a + b for a, b in zip(_folding(), (MARKS, ""), strict=True))
+#: What tokens are made of.
+TOKEN_CLASS = r"\p{L}\p{N}\p{Co}"
 CJK_CLASS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 
 # Words that carry no intent.
@@ -30,8 +52,8 @@ def folded(x: Column) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    """Maximal runs of letters and digits, lower-cased, without accents."""
-    return F.regexp_extract_all(folded(F.coalesce(x, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Maximal runs of letters, digits and private characters, lower-cased, without accents."""
+    return F.regexp_extract_all(folded(F.coalesce(x, F.lit(""))), F.lit(f"[{TOKEN_CLASS}]+"), F.lit(0))
 
 
 def normalize_cjk(x: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import display as V
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import chunking, fusion, metrics, nearest, sinks
+from ..operators import batching, chunking, fusion, metrics, nearest, sinks
 from ..operators import fulltext as ft
 from ..operators import provider as pv
 from ..sources import derived
@@ -69,6 +71,42 @@ def resolve_roots(s, d):
     return best.select("doc_id", F.col("x.name").alias("collection"), F.substring("file", F.length("x.root") + 2, F.length("file")).alias("rest"))
 
 
+#: Parts of paths by the document's id, and where relative ones begin.
+CURRENT = "/home/me/./work"
+
+
+def resolved_paths(s, d):
+    """Paths put together from relative and absolute parts, with drives, dot segments and backslashes."""
+    docs = _docs(s, d)
+    forms = [("/data/texts", "{p}"), ("notes", "../{p}", "./"), ("/x", "C:\\docs\\{l}", "..", "{p}"), ("/d/Work", "../../../{p}"), ("C:/a/b", "/{p}"), ("../../../..", "{l}//x")]
+    fill = lambda t: F.concat(*[F.col("path") if x == "{p}" else F.split_part("path", F.lit("/"), F.lit(1)) if x == "{l}" else F.lit(x) for x in re.split(r"(\{[pl]\})", t) if x])
+    parts = F.when(F.lit(False), F.array(F.lit("")))
+    for i, form in enumerate(forms):
+        parts = parts.when(F.col("doc_id") % len(forms) == i, F.array(*map(fill, form)))
+    out = P.resolve_path(parts, F.lit(CURRENT))
+    return docs.select("doc_id", out.alias("resolved"), P.is_absolute_path(F.col("path")).alias("absolute"), P.relative_to(out, F.lit("/data\\texts/")).alias("under_texts"))
+
+
+_RESOLVED = """p AS (SELECT doc_id, path, split_part(path, '/', 1) AS l FROM docs),
+r AS (SELECT doc_id, path, CASE doc_id % 6 WHEN 2 THEN 'C:' WHEN 3 THEN 'D:' WHEN 4 THEN '' ELSE '' END AS drive,
+  CASE doc_id % 6 WHEN 0 THEN '/data/texts/' || path WHEN 1 THEN '/home/me/./work/notes/../' || path || '/./' WHEN 2 THEN '/docs/' || l || '/../' || path
+    WHEN 3 THEN '/Work/../../../' || path WHEN 4 THEN '/' || path ELSE '/home/me/./work/../../../../' || l || '//x' END AS rest FROM p),
+f AS (SELECT doc_id, path, drive || '/' || array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(rest, '/'), lambda s: [s])),
+  lambda acc, s: CASE WHEN s[1] = '..' THEN acc[1:len(acc) - 1] WHEN s[1] IN ('', '.') THEN acc ELSE acc || s END), '/') AS resolved FROM r)"""
+
+
+def embedding_batches(s, d):
+    """The active documents of each collection in batches of at most 64 and 60,000 bytes, in the order of their paths."""
+    docs = _docs(s, d).where("active").select("doc_id", "collection", "path", F.octet_length("body").cast("long").alias("bytes"))
+    return batching.batches(docs, "collection", ["path"], "bytes", 64, 60_000)
+
+
+_BATCHES = """o AS (SELECT doc_id, collection, path, CAST(strlen(body) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY collection ORDER BY path) AS i FROM docs WHERE active),
+f AS (SELECT collection, i, 0 AS batch, 1 AS n, bytes AS total FROM o WHERE i = 1
+  UNION ALL SELECT o.collection, o.i, CASE WHEN n >= 64 OR total + o.bytes > 60000 THEN batch + 1 ELSE batch END, CASE WHEN n >= 64 OR total + o.bytes > 60000 THEN 1 ELSE n + 1 END,
+    CASE WHEN n >= 64 OR total + o.bytes > 60000 THEN o.bytes ELSE total + o.bytes END FROM f JOIN o ON o.collection = f.collection AND o.i = f.i + 1)"""
+
+
 def times(s, d):
     o = read_table(s, d, "orders")
     return o.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("rfc3339"), F.datediff(F.to_date(F.lit("2030-01-01")), F.to_date("o_orderdate")).cast("int").alias("days"))
@@ -180,7 +218,7 @@ def hybrid_mock(s, d):
 def _hybrid_sql():
     from .vectors import knn_sql
 
-    knn = knn_sql(20).replace(f"q.vec_id < {5}", "q.vec_id < 2")
+    knn = knn_sql(20).replace("q.vec_id % 20 = 0", "q.vec_id < 2")
     return f"""WITH lex AS ({search_sql([(1, 'the tion')], limit=20)}), kn AS ({knn}),
 l AS (SELECT 0 AS list_index, file, rank, 2.0::DOUBLE AS weight FROM lex UNION ALL SELECT query_id + 1, file, rank, CASE WHEN query_id = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END FROM kn),
 f AS (SELECT file, sum(weight / (60 + rank)) AS base, min(rank) AS top FROM l GROUP BY 1),
@@ -213,7 +251,7 @@ def _structured_sql():
     parts = []
     for i, c in enumerate(STRUCTURED):
         parts.append(f"SELECT {i} AS list_index, file, rank FROM ({search_sql([(1, 'the')], limit=20, collection=c)})")
-        parts.append(f"SELECT {len(STRUCTURED) + i}, file, rank FROM ({knn_sql(20, c).replace('q.vec_id < 5', 'q.vec_id < 1')})")
+        parts.append(f"SELECT {len(STRUCTURED) + i}, file, rank FROM ({knn_sql(20, c).replace('q.vec_id % 20 = 0', 'q.vec_id < 1')})")
     return f"""WITH l AS ({' UNION ALL '.join(parts)}), m AS (SELECT min(list_index) AS first FROM l),
 f AS (SELECT file, round(sum(CASE WHEN list_index = first THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank)) + CASE WHEN min(rank) = 1 THEN 0.05::DOUBLE WHEN min(rank) <= 3 THEN 0.02::DOUBLE ELSE 0::DOUBLE END, 9) AS s, CAST(min(rank) AS INT) AS top_rank FROM l, m GROUP BY file),
 r AS (SELECT *, CAST(row_number() OVER (ORDER BY s DESC, file) AS INT) AS rank FROM f) SELECT 1 AS query_id, rank, file, top_rank, round(1.0::DOUBLE / rank, 9) AS score FROM r WHERE rank <= 10"""
@@ -265,7 +303,7 @@ def queries() -> dict:
         "chunk_documents": lambda s, d: chunking.chunk_documents(_docs(s, d)), "chunk_by_tokens": lambda s, d: chunking.chunk_documents(_docs(s, d), by_tokens=True),
         "chunk_single_small_docs": lambda s, d: chunking.chunk_documents(_docs(s, d).where(F.octet_length("body") <= chunking.CHUNK_BYTES)),
         "best_chunk_keyword": best_chunks, "mock_embedding": mock_embeddings, "format_embedding_text": formatted, "expand_parse_output": expansions, "expand_fallback": fallback,
-        "rerank_cache_key": cache_keys, "rerank_mock_cached": rerank_cached, "hybrid_query_mock": hybrid_mock, "structured_search_mock": structured_mock,
+        "rerank_cache_key": cache_keys, "rerank_mock_cached": rerank_cached, "resolve_paths": resolved_paths, "embedding_batches": embedding_batches, "hybrid_query_mock": hybrid_mock, "structured_search_mock": structured_mock,
         "bm25_porter": lambda s, d: ft.search(s, _docs(s, d), [(1, "edition"), (2, "thing -was")], stem=True),
         "metrics_precision_recall_mrr_f1": scores, "bench_summary": lambda s, d: metrics.summary(scores(s, d), "backend"), "hit_at_k": lambda s, d: metrics.hit_rates(scores(s, d), "query_id"),
         "hits_csv_line": _sink("csv"), "hits_files_line": _sink("files"), "hits_md": _sink("md"), "hits_xml": _sink("xml"),
@@ -338,6 +376,8 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS
         "rerank_mock_cached": f"""WITH q AS (SELECT {w(3)} AS query FROM benchmark WHERE item_id % 20 = 0), d AS (SELECT doc_id, text AS chunk FROM documents), c AS (SELECT DISTINCT chunk FROM d WHERE doc_id % 2 = 0),
 x AS (SELECT doc_id, query, chunk, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: length(t) > 1) AS ws FROM d, q)
 SELECT doc_id, query, CASE WHEN chunk IN (SELECT chunk FROM c) THEN 0.5::DOUBLE ELSE round(CASE WHEN len(ws) = 0 THEN 0 ELSE len(list_filter(ws, lambda t: contains(lower(chunk), t)))::DOUBLE / len(ws) END, 6) END AS rerank, chunk IN (SELECT chunk FROM c) AS cached FROM x""",
+        "resolve_paths": f"WITH {derived.SQL}, {_RESOLVED} SELECT doc_id, resolved, false AS absolute, CASE WHEN starts_with(resolved, '/data/texts/') THEN substr(resolved, 13) END AS under_texts FROM f",
+        "embedding_batches": f"WITH RECURSIVE {derived.SQL}, {_BATCHES} SELECT doc_id, o.collection, path, bytes, batch FROM o JOIN f ON o.collection = f.collection AND o.i = f.i",
         "hybrid_query_mock": _hybrid_sql(), "structured_search_mock": _structured_sql(),
         "metrics_precision_recall_mrr_f1": f"{_SCORES} SELECT * FROM sc",
         "bench_summary": f"{_SCORES} SELECT backend, count(*) AS queries, round(sum(CAST(precision_at_k AS DECIMAL(18,6)))::DOUBLE / count(*), 6) AS avg_precision_at_k, round(sum(CAST(recall AS DECIMAL(18,6)))::DOUBLE / count(*), 6) AS avg_recall, round(sum(CAST(mrr AS DECIMAL(18,6)))::DOUBLE / count(*), 6) AS avg_mrr, round(sum(CAST(f1 AS DECIMAL(18,6)))::DOUBLE / count(*), 6) AS avg_f1 FROM sc GROUP BY 1",

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import fulltext as ft
 from ..sources import derived
+from ..sources.scratch import scratch_path
 from ..sources.tables import read_table
 from ..functions.query_language import parse_lexical, validate_lexical, validate_semantic
+from .index import Index
 
 QUERIES = {
     "bm25_prefix_top20": dict(queries=[(1, "the"), (2, "und"), (3, "que")]),
@@ -26,7 +28,7 @@ _CJK = r"regexp_replace({}, '([\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Hangul}}
 
 
 def _tokens(x: str) -> str:
-    return f"regexp_extract_all({_FOLD.format(_CJK.format(x))}, '[\\p{{L}}\\p{{N}}]+')"
+    return f"regexp_extract_all({_FOLD.format(_CJK.format(x))}, '[{T.TOKEN_CLASS}]+')"
 
 
 TOKENS_SQL = derived.SQL + f""",
@@ -36,7 +38,7 @@ cols AS (SELECT doc_id, 'filepath' AS col, {_tokens("collection || '/' || path")
 toks AS (SELECT doc_id, col, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS pos FROM cols)"""
 
 
-def search_sql(queries, limit=ft.DEFAULT_LIMIT, collection=None, min_score=0.0, exact=False) -> str:
+def search_sql(queries, limit=ft.DEFAULT_LIMIT, collection=None, min_score=0.0, exact=False, tokens=TOKENS_SQL) -> str:
     rows = []
     for q, text in queries:
         for i, item in enumerate(parse_lexical(text)):
@@ -45,7 +47,7 @@ def search_sql(queries, limit=ft.DEFAULT_LIMIT, collection=None, min_score=0.0,
     cut = limit * ft.OVERFETCH if collection and not exact else limit
     only = f"AND collection = '{collection}'" if collection else ""
     early = f"WHERE doc_id IN (SELECT doc_id FROM docs WHERE collection = '{collection}')" if collection and exact else ""
-    return f"""WITH {TOKENS_SQL},
+    return f"""WITH {tokens},
 items(query_id, item, negated, prefix, k, m, token) AS (VALUES {', '.join(rows)}),
 base AS (SELECT query_id, item, negated, doc_id, col, pos - k AS base, m, count(DISTINCT k) AS got
   FROM toks JOIN items ON (NOT prefix AND term = token) OR (prefix AND starts_with(term, token)) GROUP BY ALL HAVING count(DISTINCT k) = m),
@@ -66,6 +68,34 @@ SELECT CAST(query_id AS INT) AS query_id, CAST(rank AS INT) AS rank, doc_id, lef
 FROM kept WHERE rank <= {limit} AND score >= {min_score}"""
 
 
+# Every seventh document but for an offset is changed after the index was built.
+_CHANGED = "doc_id % 7 = 3"
+_NEWER = f"""docs0.doc_id AS doc_id, collection, path, CASE WHEN {_CHANGED} THEN 'Updated ' || CAST(doc_id AS VARCHAR) ELSE title END AS title,
+    CASE WHEN {_CHANGED} THEN sha256(body || ' zzfresh the end') ELSE hash END AS hash, CASE WHEN {_CHANGED} THEN body || ' zzfresh the end' ELSE body END AS body, active OR {_CHANGED} AS active"""
+UPDATED_SQL = TOKENS_SQL.replace("docs AS (", "docs0 AS (", 1).replace("FROM documents)", f"FROM documents),\ndocs AS (SELECT {_NEWER} FROM docs0)", 1)
+STORED = [(1, "the"), (2, "zzfresh"), (3, '"zzfresh the" -und'), (4, "updated"), (5, '"de la"')]
+
+
+def stored_index(spark, sf_dir) -> Index:
+    """An index built of all documents, of which a part is then changed: a small segment over a large one."""
+    docs = derived.documents(spark, sf_dir)
+    index = Index(spark, scratch_path(spark, "index"), stem=False)
+
+    def build(t) -> None:
+        t.replace("documents", docs.withColumn("created_at", F.col("modified_at")))
+        t.replace("content", derived.content(spark, sf_dir))
+        index._index_texts(t)
+
+    index._change(build)
+    index.upsert(docs.where(_CHANGED).select("collection", "path", F.concat(F.lit("Updated "), F.col("doc_id").cast("string")).alias("title"), F.concat("body", F.lit(" zzfresh the end")).alias("body"), F.lit("2030").alias("modified_at")))
+    return index
+
+
+def stored_postings(spark, sf_dir):
+    rows = stored_index(spark, sf_dir).table("postings")
+    return rows.select("doc_id", "col", "term", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
 def _search(**args):
     return lambda spark, sf_dir: ft.search(spark, derived.documents(spark, sf_dir), **args)
 
@@ -110,6 +140,8 @@ def queries() -> dict:
     out = {name: _search(**args) for name, args in QUERIES.items()}
     return out | {
         "postings_build": postings_build,
+        "postings_stored": stored_postings,
+        "bm25_stored": lambda s, d: stored_index(s, d).search_lexical(STORED),
         "term_df_stats": lambda s, d: ft.vocabulary(_tokens_of(s, d)),
         "doc_length_stats": lambda s, d: ft.lengths(_tokens_of(s, d)),
         "bm25_multi_collection_postfilter": multi_collection_postfilter,
@@ -126,6 +158,8 @@ def oracle_sql() -> dict[str, str]:
     head = "array_to_string(string_split(text, ' ')[1:3], ' ')"
     return out | {
         "postings_build": f"WITH {TOKENS_SQL} SELECT doc_id, col, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM toks GROUP BY ALL",
+        "postings_stored": f"WITH {UPDATED_SQL} SELECT doc_id, col, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM toks GROUP BY ALL",
+        "bm25_stored": search_sql(STORED, tokens=UPDATED_SQL),
         "term_df_stats": f"WITH {TOKENS_SQL} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM toks GROUP BY 1",
         "doc_length_stats": f"WITH {TOKENS_SQL} SELECT doc_id, count(*) AS dl FROM toks GROUP BY 1",
         "bm25_multi_collection_postfilter": f"SELECT * FROM ({search_sql([(1, 'the'), (2, 'en')], limit=100)}) WHERE collection IN ('src1', 'src2', 'src5')",

@@ -80,6 +80,11 @@ def similar_files(s, d):
     return lookup.similar(_docs(s, d), wanted, 2, 5)
 
 
+def suggested(s, d):
+    """Names of every twentieth document; what no stage finds comes with the paths most like it."""
+    return lookup.find_or_suggest(_docs(s, d), _names(s, d)).withColumn("suggestions", F.array_join("suggestions", "|"))
+
+
 def _status(s, d):
     return catalog.status(_docs(s, d), _vectors(s, d), MODEL, FINGERPRINT)
 
@@ -120,6 +125,7 @@ def queries() -> dict:
         "multi_get_comma": lambda s, d: lookup.multi_get_list(_docs(s, d), _names(s, d), 3000),
         "multi_get_size_skip": lambda s, d: lookup.with_size_limit(_docs(s, d), 3000),
         "similar_files": similar_files,
+        "find_or_suggest": suggested,
         "ls_prefix": lambda s, d: lookup.list_files(_docs(s, d), "src3", "en/"),
     }
 
@@ -168,5 +174,9 @@ SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY path, doc
         "similar_files": f"""{d}, w AS (SELECT regexp_replace(path, '\\.md$', '.nd') AS query FROM docs WHERE doc_id % 20 = 0), p AS (SELECT DISTINCT path FROM docs WHERE active),
 l AS (SELECT query, path, CAST(levenshtein(lower(path), lower(query)) AS INT) AS distance FROM p, w)
 SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, path) AS INT) AS rank, path, distance FROM l WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, path) <= 5""",
+        "find_or_suggest": f"""{d}, {_NAMES}, a AS (SELECT n.query, {_HOW}, collection, path FROM names n LEFT JOIN best b USING (query)), p AS (SELECT DISTINCT path FROM docs WHERE active),
+l AS (SELECT query, p.path, levenshtein(lower(p.path), lower(query)) AS distance FROM a, p WHERE how = 'none' AND NOT regexp_matches(ltrim(query, '#'), '^[0-9a-fA-F]{{6,}}$')),
+k AS (SELECT query, string_agg(path, '|' ORDER BY distance, path) AS suggestions FROM (SELECT * FROM l WHERE distance <= 5 QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, path) <= 5) GROUP BY query)
+SELECT a.*, coalesce(suggestions, '') AS suggestions FROM a LEFT JOIN k USING (query)""",
         "ls_prefix": f"{d} SELECT path, title, CAST(length(body) AS INT) AS size, modified_at FROM docs WHERE active AND collection = 'src3' AND starts_with(path, 'en/')",
     }

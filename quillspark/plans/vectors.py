@@ -6,22 +6,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import cosine_distance
-from ..operators import fusion, nearest
+from ..operators import fusion, nearest, pivots
 from ..operators.provider import MockProvider
 from ..sources import derived
 from ..sources.tables import read_table
 from .lexical import search_sql
 
-N_QUERIES = 5
+#: The queries: every row whose id is divisible by 20.
+ASKED = "vec_id % 20 = 0"
 
 
 def _query_vectors(spark, sf_dir):
-    return read_table(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return read_table(spark, sf_dir, "embeddings").where(ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 _DIST = "CASE WHEN len(e.embedding) <> len(q.embedding) OR len(e.embedding) = 0 THEN 'inf'::DOUBLE ELSE round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) END"
 _VECS = f"""{derived.SQL},
-dist AS (SELECT q.vec_id AS query_id, e.*, {_DIST} AS distance FROM vecs e, embeddings q WHERE q.vec_id < {N_QUERIES})"""
+dist AS (SELECT q.vec_id AS query_id, e.*, {_DIST} AS distance FROM vecs e, embeddings q WHERE q.{ASKED})"""
 
 
 def knn_sql(limit: int, collection: str | None = None) -> str:
@@ -39,6 +40,13 @@ def _knn(limit, collection=None):
     return lambda s, d: nearest.knn(derived.chunk_vectors(s, d), derived.documents(s, d), _query_vectors(s, d), limit, collection)
 
 
+def by_pivots(spark, sf_dir):
+    """The ten nearest vectors by pivots and rings; most of the others are never compared."""
+    vectors = derived.chunk_vectors(spark, sf_dir).select("vec_id", "doc_id", "seq", "embedding")
+    out = pivots.nearest_k(spark, pivots.build(vectors), _query_vectors(spark, sf_dir), 10)
+    return out.select("query_id", F.col("r").alias("rank"), "vec_id", "doc_id", "seq", "distance")
+
+
 def all_distances(spark, sf_dir):
     return nearest.distances(derived.chunk_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)).select("query_id", "vec_id", "distance")
 
@@ -137,7 +145,7 @@ def final_dedupe_limit(spark, sf_dir):
 
 def queries() -> dict:
     return {
-        "cosine_distance": all_distances, "cosine_guards": distance_guards, "knn_top_k": _knn(10), "knn_dedupe_by_file": _knn(50), "knn_collection_filter": _knn(20, "src3"),
+        "cosine_distance": all_distances, "cosine_guards": distance_guards, "knn_pivots": by_pivots, "knn_top_k": _knn(10), "knn_dedupe_by_file": _knn(50), "knn_collection_filter": _knn(20, "src3"),
         "nearest_vector": lambda s, d: nearest.nearest(derived.chunk_vectors(s, d), _query_vectors(s, d)), "vector_multi_query_max": multi_query, "stored_vector_lookup": stored_vector,
         "rrf_fuse": lambda s, d: _fused(s, d), "rrf_trace": rrf_trace, "rrf_weights_hybrid": lambda s, d: _lists(s, d).select("query_id", "list_index", "weight").distinct(),
         "rrf_weights_structured": weights_structured, "strong_signal": strong_signal, "blend_position_aware": blend_position_aware,
@@ -150,6 +158,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "cosine_distance": f"WITH {_VECS} SELECT query_id, vec_id, distance FROM dist",
         "cosine_guards": "SELECT vec_id, true AS zero_norm, true AS mismatch, true AS same_is_zero FROM embeddings",
+        "knn_pivots": f"""WITH {_VECS} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, doc_id, seq, distance
+FROM dist QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10""",
         "knn_top_k": knn_sql(10), "knn_dedupe_by_file": knn_sql(50), "knn_collection_filter": knn_sql(20, "src3"),
         "nearest_vector": f"WITH {_VECS} SELECT query_id, vec_id, distance FROM dist QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) = 1",
         "vector_multi_query_max": f"""WITH h AS ({knn_sql(10)}), m AS (SELECT CAST(query_id % 2 AS INT) AS search_id, file, max(score) AS score FROM h GROUP BY ALL HAVING max(score) >= 0.05)

@@ -18,8 +18,9 @@ def _folding() -> tuple[str, str]:
         if not c.isalpha() or c != c.lower():
             continue
         parts, plain = unicodedata.normalize("NFD", c), c.casefold()
-        if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha() and unicodedata.category(parts[1]) == "Mn":
-            pairs[c] = parts[0]
+        base = parts[0].casefold()
+        if len(parts) == 2 and base.isascii() and base.isalpha() and unicodedata.category(parts[1]) == "Mn":
+            pairs[c] = base
         elif len(plain) == 1 and plain != c:
             pairs[c] = plain
     return "".join(pairs), "".join(pairs.values())

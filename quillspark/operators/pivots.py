@@ -21,6 +21,8 @@ from ..sources.scratch import scratch_path, staged
 PIVOTS, SAMPLE_ROWS, RINGS = 48, 4096, 12
 #: Queries that are answered at a time.
 QUERY_BLOCK = 2048
+#: Bytes of a row group of vectors.
+GROUP_BYTES = 1 << 20
 #: Distances are rounded and computed in double precision; bounds give way by so much.
 SLACK = 1e-6
 
@@ -45,7 +47,7 @@ def choose_pivots(vectors: DataFrame, many: int = PIVOTS, sample: int = SAMPLE_R
 
 
 def build(vectors: DataFrame, many: int = PIVOTS, rings: int = RINGS, sample: int = SAMPLE_ROWS) -> str:
-    """Writes ``vectors`` (vec_id, embedding, ..) in folders by pivot and ring; the path.
+    """Writes ``vectors`` (vec_id, embedding, ..) in the order of pivots and rings; the path.
 
     Vectors without direction, or of a length that no pivot has, lie with
     pivot -1 and are infinitely far from everything or compared with all.
@@ -53,21 +55,20 @@ def build(vectors: DataFrame, many: int = PIVOTS, rings: int = RINGS, sample: in
     spark, pivots = vectors.sparkSession, choose_pivots(vectors, many, sample)
     path = scratch_path(spark, "pivots")
     spark.createDataFrame([(i, p) for i, p in enumerate(pivots)], "pivot int, place array<double>").coalesce(1).write.parquet(f"{path}/pivots")
-    if pivots:
-        places = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*map(F.lit, p)).alias("p")) for i, p in enumerate(pivots)])
-        same = F.filter(places, lambda p: F.size(p["p"]) == F.size("embedding"))
-        nearest = F.array_max(F.transform(same, lambda p: F.struct(dot(F.col("embedding"), p["p"]).alias("d"), (-p["i"]).alias("i"))))
-        placed = vectors.withColumn("__n", norm(F.col("embedding"))).withColumn("__x", F.when(F.col("__n") > 0, nearest))
-        away = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.try_divide(F.col("__x.d"), F.col("__n"))))
-        placed = placed.withColumn("pivot", F.coalesce(-F.col("__x.i"), F.lit(-1))).withColumn("away", F.coalesce(away, F.lit(0.0))).drop("__x", "__n")
-    else:
-        placed = vectors.withColumn("pivot", F.lit(-1)).withColumn("away", F.lit(0.0))
+    # one row with all pivots: as literals they would make the plan as large as the pivots
+    all_ = spark.read.parquet(f"{path}/pivots").agg(F.collect_list(F.struct((-F.col("pivot")).alias("i"), F.col("place").alias("p"))).alias("__pivots"))
+    same = F.filter("__pivots", lambda p: F.size(p["p"]) == F.size("embedding"))
+    nearest = F.array_max(F.transform(same, lambda p: F.struct(dot(F.col("embedding"), p["p"]).alias("d"), p["i"].alias("i"))))
+    placed = vectors.withColumn("__n", norm(F.col("embedding"))).crossJoin(F.broadcast(all_)).withColumn("__x", F.when(F.col("__n") > 0, nearest))
+    away = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.try_divide(F.col("__x.d"), F.col("__n"))))
+    placed = placed.withColumn("pivot", F.coalesce(-F.col("__x.i"), F.lit(-1))).withColumn("away", F.coalesce(away, F.lit(0.0))).drop("__x", "__n", "__pivots")
     placed = staged(placed, "placed")
     limits = placed.groupBy("pivot").agg(F.percentile_approx("away", [k / rings for k in range(1, rings)]).alias("limits"))
     dealt = placed.join(F.broadcast(limits), "pivot").withColumn("ring", F.size(F.filter("limits", lambda x: x < F.col("away")))).drop("limits")
     out = staged(dealt, "dealt")
     out.groupBy("pivot", "ring").agg(F.min("away").alias("low"), F.max("away").alias("high"), F.count("*").alias("rows")).write.parquet(f"{path}/rings")
-    out.repartition("pivot", "ring").write.partitionBy("pivot", "ring").parquet(f"{path}/vectors")
+    # sorted, so that a scan skips the row groups of other rings by their limits; a ring of very many rows is spread over files
+    out.repartitionByRange("pivot", "ring", "vec_id").sortWithinPartitions("pivot", "ring").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/vectors")
     return path
 
 
@@ -85,7 +86,7 @@ def _ring_bounds(spark, path: str, queries: DataFrame) -> DataFrame:
 
 
 def _scan(spark, path: str, visits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Distances of each query to the vectors of the rings it visits; only folders that somebody visits are read."""
+    """Distances of each query to the vectors of the rings it visits; row groups of rings that nobody visits are skipped."""
     wanted = visits.select("pivot", "ring").distinct().collect()  # PIVOTS times RINGS rows at most
     if not wanted:
         return None

@@ -103,7 +103,7 @@ def test_cutoff_and_chunks():
     assert all(body.encode()[p:].startswith(t.encode()) for p, t in lapped) and 2800 < len(lapped[0][1].encode()) <= 3600
     counted = chunking.chunks_by_tokens("x" * 9000, lambda t: len(t))
     assert all(n <= 900 for _, _, n in counted)
-    assert chunking.code_break_points("import a\n\nclass B:\n    def c(self): pass\n", "x.py") == {0: 60, 10: 100, 19: 90}
+    assert chunking.code_break_points("import a\n\nclass B:\n    def c(self): pass\n", "x.py") == {0: 60, 10: 100, 23: 90}
 
 
 def test_scalars(spark):

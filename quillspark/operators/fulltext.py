@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import virtual_path
 from ..functions.query_language import parse_lexical
-from ..functions.stemming import porter, stemmed
+from ..functions.stemming import porter, stemmed, stems
 from ..functions.text import docid, normalize_cjk, tokens
 
 #: Weights of the indexed columns, BM25's two constants, and what an item's weight is at least.
@@ -38,6 +38,15 @@ def postings(tokens_: DataFrame) -> DataFrame:
     return tokens_.groupBy("doc_id", "col", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def stemmed_postings(rows: DataFrame) -> DataFrame:
+    """Postings (of stored ``rows``, which are read twice) with each term replaced by its stem; terms of one stem become one posting.
+
+    Only distinct terms are stemmed, and postings are fewer than occurrences.
+    """
+    joined = rows.join(stems(rows), "term").groupBy("doc_id", "col", F.col("stem").alias("term"))
+    return joined.agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+
 def vocabulary(tokens_: DataFrame) -> DataFrame:
     """(term, df, occurrences)."""
     return tokens_.groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.count("*").alias("occurrences"))

@@ -17,6 +17,7 @@ from ..sources import derived
 from ..sources.tables import read_table
 from . import hybrid
 from .lexical import search_sql
+from .vectors import ASKED, asked_vectors, knn_sql
 
 D = f"WITH {derived.SQL}"
 TICKS = "```"
@@ -203,12 +204,16 @@ def _sink(name):
 
 
 def hybrid_mock(s, d):
-    """A whole hybrid search: lexical and vector lists, fusion, reranking of the candidates, blending, limit."""
+    """Hybrid searches by one text and each asked vector; the vector asked before stands for an expansion: lists, fusion, reranking, blending, limit."""
     docs = _docs(s, d)
     text = "the tion"
-    lex = ft.search(s, docs, [(1, text)], limit=20).select("query_id", F.lit(0).alias("list_index"), "file", "rank", F.lit(2.0).alias("weight"))
-    qv = read_table(s, d, "embeddings").where("vec_id < 2").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    vec = nearest.knn(derived.chunk_vectors(s, d), docs, qv, 20).select(F.lit(1).alias("query_id"), (F.col("query_id") + 1).cast("int").alias("list_index"), "file", "rank", F.when(F.col("query_id") == 0, 2.0).otherwise(1.0).alias("weight"))
+    asked = asked_vectors(s, d)
+    lex = ft.search(s, docs, [(1, text)], limit=20).select(F.lit(0).alias("list_index"), "file", "rank", F.lit(2.0).alias("weight"))
+    lex = asked.select("query_id").join(F.broadcast(lex))  # 20 rows
+    near = nearest.knn(derived.chunk_vectors(s, d), docs, asked, 20)
+    lists = F.array(F.struct(F.col("query_id"), F.lit(1).alias("list_index"), F.lit(2.0).alias("weight")), F.struct((F.col("query_id") + 20).alias("query_id"), F.lit(2).alias("list_index"), F.lit(1.0).alias("weight")))
+    vec = near.select(F.explode(lists).alias("x"), "file", "rank").select("x.query_id", "x.list_index", "file", "rank", "x.weight")
+    vec = vec.join(asked.select("query_id"), "query_id", "left_semi")
     fused = fusion.fuse(lex.unionByName(vec)).where(F.col("rank") <= fusion.CANDIDATES)
     bodies = docs.select(P.virtual_path(F.col("collection"), F.col("path")).alias("file"), "doc_id", "body")
     ranked = fused.join(bodies, "file").withColumn("rerank", pv.MockProvider().rerank(F.lit(text), F.col("body")))
@@ -216,45 +221,42 @@ def hybrid_mock(s, d):
 
 
 def _hybrid_sql():
-    from .vectors import knn_sql
-
-    knn = knn_sql(20).replace("q.vec_id % 20 = 0", "q.vec_id < 2")
-    return f"""WITH lex AS ({search_sql([(1, 'the tion')], limit=20)}), kn AS ({knn}),
-l AS (SELECT 0 AS list_index, file, rank, 2.0::DOUBLE AS weight FROM lex UNION ALL SELECT query_id + 1, file, rank, CASE WHEN query_id = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END FROM kn),
-f AS (SELECT file, sum(weight / (60 + rank)) AS base, min(rank) AS top FROM l GROUP BY 1),
-g AS (SELECT file, round(base + CASE WHEN top = 1 THEN 0.05::DOUBLE WHEN top <= 3 THEN 0.02::DOUBLE ELSE 0::DOUBLE END, 9) AS score FROM f),
-r AS (SELECT *, row_number() OVER (ORDER BY score DESC, file) AS rank FROM g), {derived.SQL},
-b AS (SELECT r.file, r.rank, docs.doc_id, (contains(lower(body), 'the')::INT + contains(lower(body), 'tion')::INT)::DOUBLE / 2 AS rr, CASE WHEN rank <= 3 THEN 0.75::DOUBLE WHEN rank <= 10 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS w
+    return f"""WITH lex AS ({search_sql([(1, 'the tion')], limit=20)}), kn AS ({knn_sql(20)}), q AS (SELECT vec_id AS query_id FROM embeddings WHERE {ASKED}),
+l AS (SELECT q.query_id, file, rank, 2.0::DOUBLE AS weight FROM q, lex UNION ALL SELECT query_id, file, rank, 2.0::DOUBLE FROM kn
+  UNION ALL SELECT q.query_id, file, rank, 1.0::DOUBLE FROM kn JOIN q ON q.query_id = kn.query_id + 20),
+f AS (SELECT query_id, file, sum(weight / (60 + rank)) AS base, min(rank) AS top FROM l GROUP BY ALL),
+g AS (SELECT query_id, file, round(base + CASE WHEN top = 1 THEN 0.05::DOUBLE WHEN top <= 3 THEN 0.02::DOUBLE ELSE 0::DOUBLE END, 9) AS score FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file) AS rank FROM g), {derived.SQL},
+b AS (SELECT r.query_id, r.file, r.rank, docs.doc_id, (contains(lower(body), 'the')::INT + contains(lower(body), 'tion')::INT)::DOUBLE / 2 AS rr, CASE WHEN rank <= 3 THEN 0.75::DOUBLE WHEN rank <= 10 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS w
   FROM r JOIN docs ON r.file = 'quill://' || collection || '/' || path WHERE rank <= 40),
 z AS (SELECT *, round(w * (1.0::DOUBLE / rank) + (1 - w) * rr, 9) AS blended FROM b)
-SELECT 1 AS query_id, CAST(row_number() OVER (ORDER BY blended DESC, file) AS INT) AS final_rank, doc_id, file, blended FROM z QUALIFY row_number() OVER (ORDER BY blended DESC, file) <= 10"""
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, file) AS INT) AS final_rank, doc_id, file, blended FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, file) <= 10"""
 
 
 STRUCTURED = ("src1", "src3")
 
 
 def structured_mock(s, d):
-    """A structured search over two collections: lexical lists first, then vector lists."""
+    """Structured searches over two collections by one word and each asked vector: lexical lists first, then vector lists."""
     docs, vectors = _docs(s, d), derived.chunk_vectors(s, d)
-    qv = read_table(s, d, "embeddings").where("vec_id < 1").select(F.lit(1).alias("query_id"), F.col("embedding").alias("query_vec"))
+    asked = asked_vectors(s, d)
     n, out = len(STRUCTURED), None
     for i, c in enumerate(STRUCTURED):
-        lex = ft.search(s, docs, [(1, "the")], limit=20, collection=c).select("query_id", F.lit(i).alias("list_index"), "file", "rank")
-        vec = nearest.knn(vectors, docs, qv, 20, c).select("query_id", F.lit(n + i).alias("list_index"), "file", "rank")
+        lex = ft.search(s, docs, [(1, "the")], limit=20, collection=c).select("file", "rank")
+        lex = asked.select("query_id").join(F.broadcast(lex)).select("query_id", F.lit(i).alias("list_index"), "file", "rank")
+        vec = nearest.knn(vectors, docs, asked, 20, c).select("query_id", F.lit(n + i).alias("list_index"), "file", "rank")
         out = lex.unionByName(vec) if out is None else out.unionByName(lex).unionByName(vec)
     return fusion.structured(out, 10)
 
 
 def _structured_sql():
-    from .vectors import knn_sql
-
     parts = []
     for i, c in enumerate(STRUCTURED):
-        parts.append(f"SELECT {i} AS list_index, file, rank FROM ({search_sql([(1, 'the')], limit=20, collection=c)})")
-        parts.append(f"SELECT {len(STRUCTURED) + i}, file, rank FROM ({knn_sql(20, c).replace('q.vec_id % 20 = 0', 'q.vec_id < 1')})")
-    return f"""WITH l AS ({' UNION ALL '.join(parts)}), m AS (SELECT min(list_index) AS first FROM l),
-f AS (SELECT file, round(sum(CASE WHEN list_index = first THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank)) + CASE WHEN min(rank) = 1 THEN 0.05::DOUBLE WHEN min(rank) <= 3 THEN 0.02::DOUBLE ELSE 0::DOUBLE END, 9) AS s, CAST(min(rank) AS INT) AS top_rank FROM l, m GROUP BY file),
-r AS (SELECT *, CAST(row_number() OVER (ORDER BY s DESC, file) AS INT) AS rank FROM f) SELECT 1 AS query_id, rank, file, top_rank, round(1.0::DOUBLE / rank, 9) AS score FROM r WHERE rank <= 10"""
+        parts.append(f"SELECT q.query_id, {i} AS list_index, file, rank FROM q, ({search_sql([(1, 'the')], limit=20, collection=c)}) x")
+        parts.append(f"SELECT query_id, {len(STRUCTURED) + i}, file, rank FROM ({knn_sql(20, c)})")
+    return f"""WITH q AS (SELECT vec_id AS query_id FROM embeddings WHERE {ASKED}), l AS ({' UNION ALL '.join(parts)}), m AS (SELECT query_id, min(list_index) AS first FROM l GROUP BY 1),
+f AS (SELECT query_id, file, round(sum(CASE WHEN list_index = first THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank)) + CASE WHEN min(rank) = 1 THEN 0.05::DOUBLE WHEN min(rank) <= 3 THEN 0.02::DOUBLE ELSE 0::DOUBLE END, 9) AS s, CAST(min(rank) AS INT) AS top_rank FROM l JOIN m USING (query_id) GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, file) AS INT) AS rank FROM f) SELECT query_id, rank, file, top_rank, round(1.0::DOUBLE / rank, 9) AS score FROM r WHERE rank <= 10"""
 
 
 NOW = 1_750_000_000

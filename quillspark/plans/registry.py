@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, lexical, maintenance, vectors
+from . import documents, lexical, maintenance, searches, vectors
 
-_MODULES = (lexical, vectors, maintenance, documents)
+_MODULES = (lexical, vectors, maintenance, documents, searches)
 
 
 def queries() -> dict:

@@ -16,19 +16,27 @@ from .lexical import search_sql
 ASKED = "vec_id % 20 = 0"
 
 
-def _query_vectors(spark, sf_dir):
+def asked_vectors(spark, sf_dir):
     return read_table(spark, sf_dir, "embeddings").where(ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 _DIST = "CASE WHEN len(e.embedding) <> len(q.embedding) OR len(e.embedding) = 0 THEN 'inf'::DOUBLE ELSE round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) END"
-_VECS = f"""{derived.SQL},
-dist AS (SELECT q.vec_id AS query_id, e.*, {_DIST} AS distance FROM vecs e, embeddings q WHERE q.{ASKED})"""
+_ALL = f"embeddings q WHERE q.{ASKED}"
 
 
-def knn_sql(limit: int, collection: str | None = None) -> str:
+def _vecs(asked: str = _ALL) -> str:
+    return f"""{derived.SQL},
+dist AS (SELECT q.vec_id AS query_id, e.*, {_DIST} AS distance FROM vecs e, {asked})"""
+
+
+_VECS = _vecs()
+
+
+def knn_sql(limit: int, collection: str | None = None, asked: str = _ALL) -> str:
+    """``asked`` names the table q of query vectors (vec_id, embedding)."""
     k = max(1, min(3 * limit, 1000))
     only = f"AND collection = '{collection}'" if collection else ""
-    return f"""WITH {_VECS},
+    return f"""WITH {_vecs(asked)},
 near AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= {k}),
 hits AS (SELECT n.query_id, n.vec_id, n.pos, n.distance, d.doc_id, d.collection, d.path, '{derived.SCHEME}://' || d.collection || '/' || d.path AS file
   FROM near n JOIN docs d USING (doc_id) WHERE d.active {only} QUALIFY row_number() OVER (PARTITION BY n.query_id, d.doc_id ORDER BY n.distance, n.vec_id) = 1)
@@ -37,18 +45,18 @@ FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, fi
 
 
 def _knn(limit, collection=None):
-    return lambda s, d: nearest.knn(derived.chunk_vectors(s, d), derived.documents(s, d), _query_vectors(s, d), limit, collection)
+    return lambda s, d: nearest.knn(derived.chunk_vectors(s, d), derived.documents(s, d), asked_vectors(s, d), limit, collection)
 
 
 def by_pivots(spark, sf_dir):
     """The ten nearest vectors by pivots and rings; most of the others are never compared."""
     vectors = derived.chunk_vectors(spark, sf_dir).select("vec_id", "doc_id", "seq", "embedding")
-    out = pivots.nearest_k(spark, pivots.build(vectors), _query_vectors(spark, sf_dir), 10)
+    out = pivots.nearest_k(spark, pivots.build(vectors), asked_vectors(spark, sf_dir), 10)
     return out.select("query_id", F.col("r").alias("rank"), "vec_id", "doc_id", "seq", "distance")
 
 
 def all_distances(spark, sf_dir):
-    return nearest.distances(derived.chunk_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)).select("query_id", "vec_id", "distance")
+    return nearest.distances(derived.chunk_vectors(spark, sf_dir), asked_vectors(spark, sf_dir)).select("query_id", "vec_id", "distance")
 
 
 def multi_query(spark, sf_dir):
@@ -146,7 +154,7 @@ def final_dedupe_limit(spark, sf_dir):
 def queries() -> dict:
     return {
         "cosine_distance": all_distances, "cosine_guards": distance_guards, "knn_pivots": by_pivots, "knn_top_k": _knn(10), "knn_dedupe_by_file": _knn(50), "knn_collection_filter": _knn(20, "src3"),
-        "nearest_vector": lambda s, d: nearest.nearest(derived.chunk_vectors(s, d), _query_vectors(s, d)), "vector_multi_query_max": multi_query, "stored_vector_lookup": stored_vector,
+        "nearest_vector": lambda s, d: nearest.nearest(derived.chunk_vectors(s, d), asked_vectors(s, d)), "vector_multi_query_max": multi_query, "stored_vector_lookup": stored_vector,
         "rrf_fuse": lambda s, d: _fused(s, d), "rrf_trace": rrf_trace, "rrf_weights_hybrid": lambda s, d: _lists(s, d).select("query_id", "list_index", "weight").distinct(),
         "rrf_weights_structured": weights_structured, "strong_signal": strong_signal, "blend_position_aware": blend_position_aware,
         "skip_rerank_scores": lambda s, d: _fused(s, d).where("rank <= 40").select("query_id", "file", F.round(1.0 / F.col("rank"), 9).alias("score")),

@@ -39,8 +39,9 @@ SKETCH, SLACK = 96, 0.11
 NEAR = 0.6
 #: Groups of so many lines, most of them not similar to their center, are looked at from their core: the shingles that most of up to CORE_LINES of them share.
 CROWD, CORE_LINES = 16, 9
-#: Of the shingles in which a line differs from its center so many least hashes are kept, and so many serve as bands; the agreement may fall short by TURN_SLACK (2.5 standard deviations at a third).
-TURNS, TURN_BANDS, TURN_SLACK = 32, 12, 0.2
+#: Of the shingles in which a line differs from its center so many least hashes are kept (all of them, for most lines), and so many serve as bands.
+#: Where that is not all of them, the agreement may fall short by TURN_SLACK (2.5 standard deviations at a third).
+TURNS, TURN_BANDS, TURN_SLACK = 128, 12, 0.11
 #: Candidate lines and removed lines up to this many are broadcast (some ten bytes each); more meet by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -228,6 +229,10 @@ def _alike_beside_centers(near: DataFrame, similarity: float) -> DataFrame:
     is not, S(a) and S(b) share what their sizes tell, and some of their least
     hashes are the same.  (The same holds for a core and the line that differs
     least from it.)  Two lines with the same nearest center meet there only.
+
+    Where S(a) and S(b) are kept whole, how many they share tells the
+    similarity, so that a pair leaves the join only if its lines are similar;
+    one hash may be lost to two that agree in 32 bits.
     """
     odd = near.where("not linked").select("center").distinct()
     turns = near.join(odd, "center", "left_semi").withColumn("turn", F.explode(F.slice("turns", 1, TURN_BANDS)))
@@ -236,8 +241,10 @@ def _alike_beside_centers(near: DataFrame, similarity: float) -> DataFrame:
     both = F.greatest((F.col("differing_a") + F.col("differing_b") - most) / 2, F.lit(0))
     expected = both / (F.col("differing_a") + F.col("differing_b") - both) - TURN_SLACK
     shared = F.array_intersect("turns_a", "turns_b")
+    whole = F.greatest("differing_a", "differing_b") <= TURNS
+    enough = F.when(whole, both - 1).otherwise(expected * F.least(F.size("turns_a"), F.size("turns_b")))
     # a pair meets at each hash it shares, and counts at the least of them
-    may = (F.size(shared) >= expected * F.least(F.size("turns_a"), F.size("turns_b"))) & (F.array_min(shared) == F.col("turn_a"))
+    may = (F.abs(F.col("differing_a") - F.col("differing_b")) <= most) & (F.size(shared) >= enough) & (F.array_min(shared) == F.col("turn_a"))
     meet = (F.col("center_a") == F.col("center_b")) & (F.col("turn_a") == F.col("turn_b")) & ((F.col("nearest_a") != F.col("nearest_b")) | (F.col("nearest_a") == F.col("center_a")))
     return one.where("not linked_a").join(two, meet & (F.col("linked_b") | (F.col("id_a") < F.col("id_b"))) & may).select("id_a", "id_b").distinct()
 
@@ -270,7 +277,6 @@ def line_components(documents: DataFrame, marks: DataFrame, similarity: float =
     nearest = groups.groupBy("id").agg(F.min(F.struct("differing", "center")).alias("x")).select("id", F.col("x.center").alias("nearest"))
     groups = staged(groups.join(nearest, "id"), "groups")
     rest, far = _alike_beside_centers(groups, similarity), _alike_far_from_centers(shared, groups, texts, similarity)
-    rest = _both(rest, texts, "n", "sketch").where(could_reach(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), similarity, SLACK)).select("id_a", "id_b")
     more = _linked(staged(rest.unionByName(far).distinct(), "sifted-pairs"), texts, similarity)
     links = near.where("linked").select(F.col("center").alias("a"), F.col("id").alias("b"))
     return connected_components(links.unionByName(core_links.toDF("a", "b")).unionByName(more.toDF("a", "b")))

@@ -142,3 +142,25 @@ def test_large_families(spark):
     alone = [x for x in lines if x not in got]
     assert len(alone) > 50 and all(sum(want[x] == g for g in want.values()) == 1 for x in alone)
     assert all(len({want[x] for x in got if got[x] == c}) == 1 for c in set(got.values()))
+
+
+def test_lines_beside_a_center_meet_only_if_similar(spark, monkeypatch):
+    """Of a family of variants no pair leaves the join of their differences unless it is similar, or nearly so: the rows follow the links, not the square of the family."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 9))) for _ in range(300)]
+    whole = [rnd.choice(words) for _ in range(25)]
+    lines = {" ".join(whole)}
+    for _ in range(400):
+        own = list(whole)
+        for _ in range(rnd.randrange(1, 5)):
+            own[rnd.randrange(len(own))] = rnd.choice(words)
+        lines.add(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(sorted(lines))), "doc_id long, text string")
+    met, beside = [], ld._alike_beside_centers
+    monkeypatch.setattr(ld, "_alike_beside_centers", lambda *a: met.append(beside(*a)) or met[-1])
+    got, links = components_of(df), links_by_hand(lines)
+    want, named = groups(lines, links), {r.id: r.line for r in ld.lines_of(df).selectExpr("xxhash64(line) as id", "line").collect()}
+    pairs = [tuple(sorted((named[r.id_a], named[r.id_b]))) for r in met[0].collect()]
+    assert 0 < len(pairs) <= 2 * sum(p in links for p in pairs)
+    lost = [p for p in links if got.get(p[0]) is None or got[p[0]] != got.get(p[1])]
+    assert not lost and len({want[x] for x in got}) == len(set(got.values()))

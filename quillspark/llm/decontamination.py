@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of documents and benchmark items are TF-IDF vectors; document
-frequencies are counted over all documents.  A randomised SVD of sampled
-passages and of the items gives a latent space; every passage of every
-document is compared there by cosine with every item it has room for, and what
-comes close is checked word by word: the longest common subsequence of item and
+frequencies are counted over all documents, and so is how often any two words
+of items occur in one passage.  These counts are the TF-IDF matrix of all
+passages times itself; a randomised SVD of it and of the items gives a latent
+space.  Every passage of every document is compared there by cosine with every
+item it has room for, and what comes close is checked word by word: the longest common subsequence of item and
 passage, and whether the item's answer is there.  A passage has no room for an
 item if the text around it lacks so many of the item's words that no common
 subsequence could pass the check; so leaving it out loses nothing.
@@ -21,16 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, ship
+from .common import read_table, ship, staged
 
 #: Passages are two neighbouring blocks of so many words; long items are looked for in parts.
 BLOCK = 24
 PART, PART_STEP = 48, 24
 #: The latent space has so many dimensions, and as many more as every item part needs to keep KEPT of its norm.
 RANK, KEPT = 192, 0.95
-#: Documents whose passages the latent space is fitted to, at most (the lowest by a hash of the row).
-FIT_DOCUMENTS = 12_000
-FIT_TASKS = 8
+#: So many counts of two words a task holds (eight bytes each); more words of items are counted in several scans.
+PAIR_COUNTS = 1 << 24
 #: Items that share a latent space: bounds its dimensions, and so what a task holds.
 ITEM_BLOCK = 512
 MIN_COSINE = 0.2
@@ -42,8 +42,8 @@ ANSWER_SHARE, ANSWER_FOUND = 0.2, 0.8
 STRETCH = 1.5
 #: Words are looked up for so many neighbouring passages together (for more where items are longer).
 GROUP = 16
-#: The fit multiplies so many passages at a time.
-STRIP = 64
+#: Words of so many passages are counted together.
+STRIP = 16
 
 _TABLE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 MATCHES = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
@@ -124,27 +124,6 @@ def _rooms(ids: np.ndarray, space: Space, share: float) -> Iterator[tuple[int, i
             yield a, end, np.flatnonzero(room[space.part_item])
 
 
-def _frequencies(documents: DataFrame, words: dict[bytes, int], text: str) -> tuple[np.ndarray, int]:
-    """In how many documents each word occurs, counted over all of them, and the number of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(len(words) + 1, np.int64), 0
-        known = words.keys()
-        for b in batches:
-            for t in b.column(0):
-                n += 1
-                for w in known & set(tokens(t.as_py())):
-                    counts[words[w]] += 1
-        counts[-1] = n
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["w", "n"])
-
-    out = np.zeros(len(words) + 1)
-    for r in documents.select(text).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():
-        out[r["w"]] = r["n"]
-    return out[:-1], int(out[-1])
-
-
 def _counts(ids: np.ndarray, n: int, more: bool) -> tuple[np.ndarray, np.ndarray]:
     """The words below ``n`` in ``ids``, and how often each is in each passage, passages without any left out.
 
@@ -159,38 +138,79 @@ def _counts(ids: np.ndarray, n: int, more: bool) -> tuple[np.ndarray, np.ndarray
     return places, tf[tf.any(axis=1)]
 
 
-def _latent_basis(sample: DataFrame, words: dict[bytes, int], weights: np.ndarray, items: np.ndarray, rank: int, rounds: int = 2, seed: int = 7) -> np.ndarray:
-    """The leading right singular vectors of the TF-IDF matrix of the sample's passages and the items.
+def _together(documents: DataFrame, words: dict[bytes, int], text: str, pair_counts: int = PAIR_COUNTS) -> tuple[DataFrame, np.ndarray, int]:
+    """(w, row): how often each word occurs together with each other in a passage, over all passages of all documents; the documents that hold each word, and how many documents there are.
 
-    Randomised range finding: tasks return A'(A X) of their passages for a thin
-    X, a matrix of words by rank each, and X is made orthonormal between rounds.
-    Items weigh as much as all passages together, so that the space tells them apart.
+    Two words that occur x and y times in a passage count x * y there.  Tasks
+    return a row a word, and rows of one word are added after a shuffle.
     """
     n = len(words)
-    rank = min(rank, n)
-    x = np.random.default_rng(seed).normal(size=(n, rank))
-    for _ in range(rounds):
-        x, _ = np.linalg.qr(x)
-        rows = np.vstack([x * weights[:, None], np.zeros((1, x.shape[1]))]).astype(np.float32)
+    own_rows = max(1, pair_counts // n)
+    rows = None
+    for low in range(0, n, own_rows):
+        high = min(n, low + own_rows)
 
-        def run(batches: Iterator[pa.RecordBatch], rows: np.ndarray = rows) -> Iterator[pa.RecordBatch]:
-            out, many = np.zeros(rows.shape, np.float32), 0
+        def run(batches: Iterator[pa.RecordBatch], low: int = low, high: int = high) -> Iterator[pa.RecordBatch]:
+            pairs, holds = np.zeros((high - low, n), np.int64), np.zeros(n + 1, np.int64)
             for b in batches:
                 for t in b.column(0):
                     _, ids = _ids(t.as_py(), words)
+                    holds[np.unique(ids[ids < n])] += 1
+                    holds[n] += 1
                     for a in range(0, len(ids), STRIP * BLOCK):
                         places, tf = _counts(ids[a : a + (STRIP + 1) * BLOCK], n, a > 0)
-                        many += len(tf)
-                        values = tf * weights[places]
-                        values /= np.linalg.norm(values, axis=1, keepdims=True)
-                        # tf * idf * x of the passages, and back to their words
-                        out[places] += values.T.astype(np.float32) @ ((values / weights[places]).astype(np.float32) @ rows[places])
-            yield pa.RecordBatch.from_arrays([pa.array([out[:-1].tobytes()], pa.binary()), pa.array([many])], ["y", "n"])
-
-        y, many = np.zeros(x.shape), 0
-        for r in sample.mapInArrow(run, "y binary, n long").collect():
-            y, many = y + np.frombuffer(bytes(r["y"]), np.float32).reshape(n, -1), many + r["n"]
-        x = y + max(1.0, many / len(items)) * (items.T @ (items @ x))
+                        tf = tf.astype(np.float32)
+                        first, last = np.searchsorted(places, (low, high))
+                        pairs[np.ix_(places[first:last] - low, places)] += (tf[:, first:last].T @ tf).astype(np.int64)
+            if low == 0:  # the counts of documents take the place of a word before the first
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([holds.tobytes()], pa.binary())], ["w", "row"])
+            seen = np.flatnonzero(pairs.any(axis=1))
+            for a in range(0, len(seen), 256):
+                some = seen[a : a + 256]
+                yield pa.RecordBatch.from_arrays([pa.array((some + low).astype(np.int32)), pa.array([pairs[k].tobytes() for k in some], pa.binary())], ["w", "row"])
+
+        part = documents.select(text).mapInArrow(run, "w int, row binary")
+        rows = part if rows is None else rows.unionByName(part)
+
+    def added(table: pa.Table) -> pa.Table:
+        total = 0
+        for r in table.column("row"):
+            total = total + np.frombuffer(r.as_buffer(), np.int64)
+        return pa.table({"w": table.column("w")[:1], "row": pa.array([total.tobytes()], pa.binary())})
+
+    rows = staged(rows.groupBy("w").applyInArrow(added, "w int, row binary"), "words-together")
+    counts = rows.where("w < 0").first()
+    holds = np.frombuffer(bytes(counts["row"]), np.int64) if counts else np.zeros(n + 1, np.int64)
+    return rows.where("w >= 0"), holds[:-1].astype(float), int(holds[-1])
+
+
+def _latent_basis(together: DataFrame, weights: np.ndarray, items: np.ndarray, rank: int, rounds: int = 2, seed: int = 7) -> np.ndarray:
+    """The leading right singular vectors of the TF-IDF matrix A of all passages and the items.
+
+    Randomised range finding: tasks multiply the rows of A'A, which are the
+    counts of words together times their weights, with a thin X, and X is made
+    orthonormal between rounds.  Items weigh as much as all passages together,
+    so that the space tells them apart.
+    """
+    n = len(weights)
+    rank = min(rank, n)
+    x = np.random.default_rng(seed).normal(size=(n, rank))
+    for _ in range(rounds):
+        x, _ = np.linalg.qr(x)
+
+        def run(batches: Iterator[pa.RecordBatch], x: np.ndarray = x * weights[:, None]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                w = b.column("w").to_numpy()
+                if len(w):
+                    rows = np.array([np.frombuffer(r.as_buffer(), np.int64) for r in b.column("row")]) * weights[w][:, None]
+                    own = rows[np.arange(len(w)), w] * weights[w]
+                    yield pa.RecordBatch.from_arrays([b.column("w"), pa.array([y.tobytes() for y in rows @ x], pa.binary()), pa.array(own)], ["w", "y", "own"])
+
+        y, total = np.zeros(x.shape), 0.0
+        for r in sorted(together.mapInArrow(run, "w int, y binary, own double").collect()):
+            y[r["w"]] = np.frombuffer(bytes(r["y"]))
+            total += r["own"]
+        x = y + max(1.0, total / len(items)) * (items.T @ (items @ x))
     q, _ = np.linalg.qr(x)
     return q
 
@@ -206,7 +226,7 @@ def _widened(basis: np.ndarray, items: np.ndarray, kept: float = KEPT) -> np.nda
     return np.linalg.qr(np.hstack([basis, more[: int(reached.argmax()) + 1].T]))[0]
 
 
-def fit(documents: DataFrame, items: list[tuple[int, str | None]], text: str = "text", rank: int = RANK, fit_documents: int = FIT_DOCUMENTS) -> Space | None:
+def fit(documents: DataFrame, items: list[tuple[int, str | None]], text: str = "text", rank: int = RANK) -> Space | None:
     """The latent space for ``items``; None if they have no words."""
     ship(documents.sparkSession)
     spelled = [(i, tokens(t)) for i, t in items]
@@ -214,7 +234,7 @@ def fit(documents: DataFrame, items: list[tuple[int, str | None]], text: str = "
     words = {w: k for k, w in enumerate(sorted({w for _, t in spelled for w in t}))}
     if not words:
         return None
-    seen, n = _frequencies(documents, words, text)
+    together, seen, n = _together(documents, words, text)
     weights = np.log((n + 1) / (seen + 1)) + 0.1
     parts, owner = [], []
     for k, (_, t) in enumerate(spelled):
@@ -225,10 +245,7 @@ def fit(documents: DataFrame, items: list[tuple[int, str | None]], text: str = "
             parts.append(v / np.linalg.norm(v))
             owner.append(k)
     matrix = np.array(parts)
-    marked = documents.where(F.col(text).isNotNull()).select(text, F.xxhash64(*documents.columns).alias("__mark"))
-    last = marked.select("__mark").orderBy("__mark").limit(fit_documents).agg(F.max("__mark")).first()[0]
-    sample = marked.where(F.col("__mark") <= last).select(text).limit(fit_documents).repartition(FIT_TASKS)
-    basis = _widened(_latent_basis(sample, words, weights, matrix, rank), matrix)
+    basis = _widened(_latent_basis(together, weights, matrix, rank), matrix)
     latent = matrix @ basis
     squares = np.append(weights, 0) ** 2
     rows = np.vstack([basis * weights[:, None], np.zeros((1, basis.shape[1]))])

@@ -154,3 +154,24 @@ def test_a_short_item_among_words_no_item_has(spark):
     docs = spark.createDataFrame([*filler, planted], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "an unlike question about rivers and their names")], "item_id long, text string")
     assert (1000, 1) in {(r.doc_id, r.item_id) for r in d.find(docs, bench).where("contaminated").collect()}
+
+
+def test_the_space_is_fitted_to_every_passage(spark):
+    """Counts of words together are those of all passages of all rows, also of more rows than a bounded sample would hold, and in several scans."""
+    rng = random.Random(21)
+    words = {w.encode(): k for k, w in enumerate(sorted(f"w{k}" for k in range(40)))}
+    names = [w.decode() for w in words] + [f"other{k}" for k in range(60)]
+    texts = [" ".join(rng.choices(names, k=rng.choice((0, 3, 24, 25, 60)))) for _ in range(13_000)] + [None, "", " ".join(rng.choices(names, k=30_000))]
+    want, holds = np.zeros((40, 40), np.int64), np.zeros(40, np.int64)
+    for t in texts:
+        ids = np.array([words.get(w, 40) for w in d.tokens(t)], np.int64)
+        ends = -(-len(ids) // d.BLOCK)
+        holds += np.bincount(ids, minlength=41)[:40] > 0
+        for k in range(max(1, ends - 1) if ends else 0):
+            tf = np.bincount(ids[k * d.BLOCK : (k + 2) * d.BLOCK], minlength=41)[:40]
+            want += np.outer(tf, tf)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for pair_counts in (d.PAIR_COUNTS, 15 * 40):
+        together, seen, n = d._together(docs, words, "text", pair_counts)
+        got = {r.w: np.frombuffer(bytes(r.row), np.int64) for r in together.collect()}
+        assert n == len(texts) and (seen == holds).all() and (np.array([got[k] for k in range(40)]) == want).all()

@@ -13,6 +13,7 @@ subsequence could pass the check; so leaving it out loses nothing.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -31,6 +32,8 @@ PART, PART_STEP = 48, 24
 RANK, KEPT = 192, 0.95
 #: So many counts of two words a task holds (eight bytes each); more words of items are counted in several scans.
 PAIR_COUNTS = 1 << 24
+#: Counts among so many of the most frequent words are added for up to COMMON_STRIP passages at a time.
+COMMON, COMMON_STRIP = 256, 4096
 #: Items that share a latent space: bounds its dimensions, and so what a task holds.
 ITEM_BLOCK = 512
 MIN_COSINE = 0.2
@@ -146,12 +149,18 @@ def _together(documents: DataFrame, words: dict[bytes, int], text: str, pair_cou
     """
     n = len(words)
     own_rows = max(1, pair_counts // n)
+    corner = min(COMMON, n) if own_rows >= n else 0
     rows = None
+
+    def narrow(row: np.ndarray) -> bytes:
+        return row.astype(np.uint16 if row.max() < 1 << 16 else np.int64).tobytes()
+
     for low in range(0, n, own_rows):
         high = min(n, low + own_rows)
 
         def run(batches: Iterator[pa.RecordBatch], low: int = low, high: int = high) -> Iterator[pa.RecordBatch]:
-            pairs, holds = np.zeros((high - low, n), np.int64), np.zeros(n + 1, np.int64)
+            pairs, holds = np.zeros((high - low) * n), np.zeros(n + 1, np.int64)
+            common, held, many = np.zeros((corner, corner)), [], 0
             for b in batches:
                 for t in b.column(0):
                     _, ids = _ids(t.as_py(), words)
@@ -160,14 +169,29 @@ def _together(documents: DataFrame, words: dict[bytes, int], text: str, pair_cou
                     for a in range(0, len(ids), STRIP * BLOCK):
                         places, tf = _counts(ids[a : a + (STRIP + 1) * BLOCK], n, a > 0)
                         tf = tf.astype(np.float32)
-                        first, last = np.searchsorted(places, (low, high))
-                        pairs[np.ix_(places[first:last] - low, places)] += (tf[:, first:last].T @ tf).astype(np.int64)
+                        first, last = np.searchsorted(places, (max(low, corner), high))
+                        at = (places[first:last, None] - low) * n + places
+                        pairs[at.ravel()] += (tf[:, first:last].T @ tf).ravel()
+                        if corner:
+                            held.append(np.zeros((len(tf), corner), np.float32))
+                            held[-1][:, places[:first]] = tf[:, :first]
+                            many += len(tf)
+                        if many >= COMMON_STRIP:
+                            x = np.concatenate(held)
+                            common += x.T @ x
+                            held, many = [], 0
+            pairs = pairs.reshape(high - low, n)
+            if held:
+                x = np.concatenate(held)
+                common += x.T @ x
+            if corner:
+                pairs[:corner, :corner], pairs[:corner, corner:] = common, pairs[corner:, :corner].T
             if low == 0:  # the counts of documents take the place of a word before the first
                 yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([holds.tobytes()], pa.binary())], ["w", "row"])
             seen = np.flatnonzero(pairs.any(axis=1))
             for a in range(0, len(seen), 256):
                 some = seen[a : a + 256]
-                yield pa.RecordBatch.from_arrays([pa.array((some + low).astype(np.int32)), pa.array([pairs[k].tobytes() for k in some], pa.binary())], ["w", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array((some + low).astype(np.int32)), pa.array([narrow(pairs[k]) for k in some], pa.binary())], ["w", "row"])
 
         part = documents.select(text).mapInArrow(run, "w int, row binary")
         rows = part if rows is None else rows.unionByName(part)
@@ -175,7 +199,8 @@ def _together(documents: DataFrame, words: dict[bytes, int], text: str, pair_cou
     def added(table: pa.Table) -> pa.Table:
         total = 0
         for r in table.column("row"):
-            total = total + np.frombuffer(r.as_buffer(), np.int64)
+            row = r.as_buffer()
+            total = total + np.frombuffer(row, np.uint16 if row.size == 2 * n else np.int64).astype(np.int64)
         return pa.table({"w": table.column("w")[:1], "row": pa.array([total.tobytes()], pa.binary())})
 
     rows = staged(rows.groupBy("w").applyInArrow(added, "w int, row binary"), "words-together")
@@ -231,7 +256,8 @@ def fit(documents: DataFrame, items: list[tuple[int, str | None]], text: str = "
     ship(documents.sparkSession)
     spelled = [(i, tokens(t)) for i, t in items]
     spelled = [(i, t) for i, t in spelled if t]
-    words = {w: k for k, w in enumerate(sorted({w for _, t in spelled for w in t}))}
+    often = Counter(w for _, t in spelled for w in t)
+    words = {w: k for k, w in enumerate(sorted(often, key=lambda w: (-often[w], w)))}  # frequent ones lie together
     if not words:
         return None
     together, seen, n = _together(documents, words, text)

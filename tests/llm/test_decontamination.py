@@ -156,7 +156,7 @@ def test_a_short_item_among_words_no_item_has(spark):
     assert (1000, 1) in {(r.doc_id, r.item_id) for r in d.find(docs, bench).where("contaminated").collect()}
 
 
-def test_the_space_is_fitted_to_every_passage(spark):
+def test_the_space_is_fitted_to_every_passage(spark, monkeypatch):
     """Counts of words together are those of all passages of all rows, also of more rows than a bounded sample would hold, and in several scans."""
     rng = random.Random(21)
     words = {w.encode(): k for k, w in enumerate(sorted(f"w{k}" for k in range(40)))}
@@ -171,6 +171,7 @@ def test_the_space_is_fitted_to_every_passage(spark):
             tf = np.bincount(ids[k * d.BLOCK : (k + 2) * d.BLOCK], minlength=41)[:40]
             want += np.outer(tf, tf)
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    monkeypatch.setattr(d, "COMMON", 25)
     for pair_counts in (d.PAIR_COUNTS, 15 * 40):
         together, seen, n = d._together(docs, words, "text", pair_counts)
         got = {r.w: np.frombuffer(bytes(r.row), np.int64) for r in together.collect()}

@@ -63,7 +63,8 @@ def shingle_hashes(line: Column, size: int = SHINGLE_CHARS) -> Column:
 
 def word_starts(line: Column, size: int = SIGNED_CHARS) -> Column:
     """The windows of ``size`` characters that begin a word."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?:^| )(?=([^ ].{{{size - 1}}}))"), F.lit(1))
+    # a space before the line makes all starts alike: the pattern can begin with one plain character
+    return F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(rf"(?s) (?=([^ ]{'.' * (size - 1)}))"), F.lit(1))
 
 
 def signature(hashes: Column) -> Column:
@@ -109,6 +110,11 @@ def jaccard(x: Column, y: Column) -> Column:
     return let(F.size(F.array_intersect(x, y)), lambda both: both / (F.size(x) + F.size(y) - both))
 
 
+def jaccard_without(x: Column, y: Column, only_x: Column) -> Column:
+    """The same, where the elements ``only_x`` of ``x`` that ``y`` lacks are known."""
+    return (F.size(x) - F.size(only_x)) / (F.size(y) + F.size(only_x))
+
+
 def sketch_of(hashes: Column) -> Column:
     """16 bits of each of the SKETCH least hashes."""
     return F.array_distinct(F.transform(F.slice(F.sort_array(hashes), 1, SKETCH), lambda h: F.shiftright(F.shiftleft(h, 32), 48).cast("short")))
@@ -126,10 +132,10 @@ def could_reach(n: Column, m: Column, one: Column, two: Column, similarity: floa
 
 
 def line_marks(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, content, pos, id, bands) for each line that holds a word; content tells rows with one id apart, id is a hash of the line."""
+    """(doc_id, content, pos, id, bands) for each line that holds a word; content tells rows with one id apart, id is a hash of the line, and no band is there twice."""
     rows = lines_of(documents, text, key).select("doc_id", "content", "pos", F.xxhash64("line").alias("id"), signatures(F.col("line")).alias("s"))
     rows = rows.select("doc_id", "content", "pos", "id", F.col("s.some").alias("some"), F.col("s.every").alias("every"))
-    return rows.select("doc_id", "content", "pos", "id", F.array(*band_keys(F.col("some")), *band_keys(F.col("every"))).alias("bands"))
+    return rows.select("doc_id", "content", "pos", "id", F.array_compact(F.array_distinct(F.array(*band_keys(F.col("some")), *band_keys(F.col("every"))))).alias("bands"))
 
 
 def lines_of(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -162,11 +168,13 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def _shared_bands(marks: DataFrame) -> DataFrame:
-    """(band, id, center) for each band of several lines; the center is the most frequent of them."""
-    kinds = staged(marks.groupBy("id", "bands").agg(F.count("*").alias("n")), "lines")
-    placed = kinds.select(F.explode("bands").alias("band"), "id", "n").where("band is not null")
-    crowded = staged(placed.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band"), "band-sizes")
-    shared = staged(placed.join(_small(crowded), "band"), "bands")
+    """(band, id, center) for each band of several lines; the center is the most frequent of them.
+
+    Equal lines have equal bands, so that only the lines in bands of several are counted, and no table of distinct lines is made.
+    """
+    placed = marks.select(F.explode("bands").alias("band"), "id")
+    crowded = staged(placed.groupBy("band").agg(F.min("id").alias("one"), F.max("id").alias("other")).where("one <> other").select("band"), "band-sizes")
+    shared = staged(placed.join(_small(crowded), "band").groupBy("band", "id").agg(F.count("*").alias("n")), "bands")
     # a maximum of one number combines before the shuffle; lines that tie in it are settled by the least id
     rank = F.shiftleft(F.least("n", F.lit(2**20 - 1)), 43).bitwiseOR(F.col("id").bitwiseAND(F.lit(2**43 - 1)))
     top = shared.groupBy("band").agg(F.max(rank).alias("rank"))
@@ -174,15 +182,15 @@ def _shared_bands(marks: DataFrame) -> DataFrame:
     return shared.select("band", "id").join(center, "band")
 
 
-def _differing(x: Column, y: Column) -> Column:
-    """In how many shingles two lines differ, and the least hashes of these."""
+def _differing(only_x: Column, only_y: Column) -> Column:
+    """In how many shingles two lines differ, and the least hashes of these, from those that just one of them has."""
     least = lambda s: F.transform(F.slice(F.sort_array(s), 1, TURNS), lambda h: F.shiftright(h, 32).cast("int"))
-    return let(F.concat(F.array_except(x, y), F.array_except(y, x)), lambda s: F.struct(F.size(s).alias("differing"), least(s).alias("turns")))
+    return let(F.concat(only_x, only_y), lambda s: F.struct(F.size(s).alias("differing"), least(s).alias("turns")))
 
 
 def _met(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(id_a, id_b, linked, differing, turns) of each pair: whether its lines are similar, in how many and which shingles they differ."""
-    both = lambda x, y: F.struct((jaccard(x, y) >= similarity).alias("linked"), _differing(x, y).alias("s"))
+    both = lambda x, y: let(F.array_except(x, y), lambda only: F.struct((jaccard_without(x, y, only) >= similarity).alias("linked"), _differing(only, F.array_except(y, x)).alias("s")))
     got = let(distinct_shingles(F.col("line_a")), lambda x: let(distinct_shingles(F.col("line_b")), lambda y: both(x, y)))
     return _both(pairs, texts, "line").select("id_a", "id_b", got.alias("m")).select("id_a", "id_b", "m.linked", "m.s.*")
 
@@ -210,7 +218,7 @@ def _around_cores(near: DataFrame, texts: DataFrame, similarity: float) -> tuple
     few = few.select("center", F.explode("few").alias("id"), F.size("few").alias("many"))
     common = few.join(lines, ["center", "id"]).select("center", "many", F.explode("shingles").alias("h")).groupBy("center", "h", "many").agg(F.count("*").alias("k")).where("2 * k > many")
     core = common.groupBy("center").agg(F.collect_list("h").alias("core"))  # at most twice as many as a line has
-    seen = lines.join(core, "center").select("center", "id", "n", _differing(F.col("shingles"), F.col("core")).alias("s")).select("center", "id", "n", "s.*")
+    seen = lines.join(core, "center").select("center", "id", "n", _differing(F.array_except("shingles", "core"), F.array_except("core", "shingles")).alias("s")).select("center", "id", "n", "s.*")
     seen = staged(seen, "around-cores")
     heads = seen.groupBy("center").agg(F.min(F.struct("differing", "id")).alias("x")).select("center", F.col("x.id").alias("head"))
     seen = seen.join(heads, "center")

@@ -164,3 +164,31 @@ def test_lines_beside_a_center_meet_only_if_similar(spark, monkeypatch):
     assert 0 < len(pairs) <= 2 * sum(p in links for p in pairs)
     lost = [p for p in links if got.get(p[0]) is None or got[p[0]] != got.get(p[1])]
     assert not lost and len({want[x] for x in got}) == len(set(got.values()))
+
+
+def test_bands_are_counted_without_a_table_of_distinct_lines(spark):
+    """A line's bands are there once and none is null; a band of one line, however often it occurs, is not shared; of several the most frequent line is the center."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(9, 16))) for _ in range(400)]
+    # of few long words, so that neighbours among the word starts are often neighbours among all shingles
+    alone = " ".join(rnd.choice(words) for _ in range(24))
+    often = " ".join(rnd.choice(words) for _ in range(24))
+    near = often + "!"
+    texts = [alone] * 5 + [often] * 4 + [near] + ["a", "\tshort line  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = ld.line_marks(df).collect()
+    assert all(r.bands and None not in r.bands and len(set(r.bands)) == len(r.bands) for r in marks)
+    bands = {r.id: set(r.bands) for r in marks}
+    own = {r.line: r.id for r in ld.lines_of(df).selectExpr("line", "xxhash64(line) as id").collect()}
+    got = ld._shared_bands(ld.line_marks(df)).collect()
+    assert {(r.band, r.id, r.center) for r in got} == {(b, own[x], own[often]) for b in bands[own[often]] & bands[own[near]] for x in (often, near)}
+    assert len(got) > 2 and len(got) == len({(r.band, r.id) for r in got})
+
+
+def test_word_starts(spark):
+    lines = ["", "one", "  leading spaces and more", "tabs\tare no starts here", "é" * 40, "one two three four five six seven", "x" * 11, "x" * 12, "a  double  space in the line", "\U0001f600 " * 9]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    size = ld.SIGNED_CHARS
+    for r in df.select("line", ld.word_starts(df.line).alias("got")).collect():
+        x = r.line
+        assert r.got == [x[i : i + size] for i in range(len(x) - size + 1) if x[i] != " " and (i == 0 or x[i - 1] == " ")], x

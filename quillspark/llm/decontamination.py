@@ -98,15 +98,12 @@ def _passages(ids: np.ndarray, space: Space) -> np.ndarray:
     Words that no item has count for nothing: how much else a passage says
     must not hide the item in it.
     """
-    at = np.arange(0, len(ids), BLOCK)
     known = np.flatnonzero(ids < len(space.words))
-    starts = np.searchsorted(known, at)
-    own = np.append(ids[known], len(space.words))  # the last row is zero, so that every start has a row
-    sums = np.add.reduceat(space.basis[own], starts, axis=0)
-    norms = np.add.reduceat(space.squares[own], starts)
-    void = np.diff(starts, append=len(known)) == 0  # blocks without a word of any item
-    sums[void], norms[void] = 0, 0
-    if len(at) > 1:
+    places, own = np.unique(ids[known], return_inverse=True)
+    blocks = -(-len(ids) // BLOCK)
+    tf = np.bincount(known // BLOCK * len(places) + own, minlength=blocks * len(places)).reshape(blocks, len(places)).astype(np.float32)
+    sums, norms = tf @ space.basis[places], tf @ space.squares[places]
+    if blocks > 1:
         sums, norms = sums[:-1] + sums[1:], norms[:-1] + norms[1:]
     return sums / np.sqrt(np.where(norms > 0, norms, 1))[:, None]
 

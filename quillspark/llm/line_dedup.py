@@ -17,6 +17,8 @@ lines far from their center meet the band's other lines, by classes of size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,10 @@ BROADCAST_ROWS = 1_000_000
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\x0b\x0c\r")))
+    # trimming by a set of characters looks at the whole line, so only lines that need it are trimmed
+    blanks = " \t\x0b\x0c\r"
+    padded = reduce(Column.__or__, [end(line, F.lit(c)) for c in blanks for end in (F.startswith, F.endswith)])
+    return F.lower(F.when(padded, F.btrim(line, F.lit(blanks))).otherwise(line))
 
 
 def shingle_hashes(line: Column, size: int = SHINGLE_CHARS) -> Column:
@@ -67,27 +72,24 @@ def word_starts(line: Column, size: int = SIGNED_CHARS) -> Column:
     return F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(rf"(?s) (?=([^ ]{'.' * (size - 1)}))"), F.lit(1))
 
 
-def signature(hashes: Column) -> Column:
-    """The BANDS + 1 least of ``hashes``, sorted, without repeats."""
-
-    def least(s: Column) -> Column:
-        few = F.array_distinct(F.slice(s, 1, 4 * (BANDS + 1)))
-        enough = (F.size(few) > BANDS) | (F.size(s) <= 4 * (BANDS + 1))
-        return F.slice(F.when(enough, few).otherwise(F.array_distinct(s)), 1, BANDS + 1)
-
-    return let(F.sort_array(hashes), least)
+def signature(least: Column) -> Column:
+    """The BANDS + 1 least of sorted hashes, without repeats."""
+    few = F.array_distinct(F.slice(least, 1, 4 * (BANDS + 1)))
+    enough = (F.size(few) > BANDS) | (F.size(least) <= 4 * (BANDS + 1))
+    return F.slice(F.when(enough, few).otherwise(F.array_distinct(least)), 1, BANDS + 1)
 
 
-def signatures(line: Column) -> Column:
-    """A struct of a line's two signatures: by word starts if they are many, by all shingles if they are few; null where not used."""
+def with_signatures(lines: DataFrame) -> DataFrame:
+    """``lines`` with their two signatures in place of ``line``: ``some`` by word starts if they are many, ``every`` by all shingles if they are few; null where not used.
 
-    def of(starts: Column) -> Column:
-        n = F.size(starts)
-        some = F.when(n >= WORDY, signature(F.transform(starts, lambda w: F.xxhash64(w))))
-        every = F.when((n < WORDS) | (n * SPARSE < F.length(line)), signature(shingle_hashes(line, SIGNED_CHARS)))
-        return F.struct(some.alias("some"), every.alias("every"))
-
-    return let(word_starts(line), of)
+    Each step is a projection of its own: what stands inside a lambda, or is an argument of one, is interpreted, value by value in boxes; what stands in columns is compiled.
+    """
+    keep = [c for c in lines.columns if c != "line"]
+    n = F.size("starts")
+    some = F.sort_array(F.when(n >= WORDY, F.transform("starts", lambda w: F.xxhash64(w))))
+    every = F.sort_array(F.when((n < WORDS) | (n * SPARSE < F.length("line")), shingle_hashes(F.col("line"), SIGNED_CHARS)))
+    rows = lines.withColumn("starts", word_starts(F.col("line"))).select(*keep, some.alias("some"), every.alias("every"))
+    return rows.select(*keep, signature(F.col("some")).alias("some"), signature(F.col("every")).alias("every"))
 
 
 def band_keys(signed: Column) -> list[Column]:
@@ -105,19 +107,19 @@ def distinct_shingles(line: Column, size: int = SHINGLE_CHARS) -> Column:
     return F.array_distinct(shingle_hashes(line, size))
 
 
-def jaccard(x: Column, y: Column) -> Column:
-    """The Jaccard similarity of two arrays without repeats."""
-    return let(F.size(F.array_intersect(x, y)), lambda both: both / (F.size(x) + F.size(y) - both))
+def narrowed(column: str, body, kind: str) -> Column:
+    """``body`` of each of the numbers of an array column.
 
-
-def jaccard_without(x: Column, y: Column, only_x: Column) -> Column:
-    """The same, where the elements ``only_x`` of ``x`` that ``y`` lacks are known."""
-    return (F.size(x) - F.size(only_x)) / (F.size(y) + F.size(only_x))
+    The column is named twice, so that Catalyst does not merge the projection that computes it into the lambda's argument.
+    """
+    return F.when(F.size(column) > 0, F.transform(column, lambda h: body(h).cast(kind))).otherwise(F.array().cast(f"array<{kind}>"))
 
 
-def sketch_of(hashes: Column) -> Column:
-    """16 bits of each of the SKETCH least hashes."""
-    return F.array_distinct(F.transform(F.slice(F.sort_array(hashes), 1, SKETCH), lambda h: F.shiftright(F.shiftleft(h, 32), 48).cast("short")))
+def with_facts(lines: DataFrame) -> DataFrame:
+    """``lines`` (id, line) with the number of their shingles and a sketch: 16 bits of each of the SKETCH least hashes."""
+    rows = lines.select("id", "line", distinct_shingles(F.col("line")).alias("shingles"))
+    rows = rows.select("id", "line", F.size("shingles").alias("n"), F.slice(F.sort_array("shingles"), 1, SKETCH).alias("least"))
+    return rows.select("id", "line", "n", F.array_distinct(narrowed("least", lambda h: F.shiftright(F.shiftleft(h, 32), 48), "short")).alias("sketch"))
 
 
 def could_reach(n: Column, m: Column, one: Column, two: Column, similarity: float, slack: float) -> Column:
@@ -133,14 +135,15 @@ def could_reach(n: Column, m: Column, one: Column, two: Column, similarity: floa
 
 def line_marks(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, content, pos, id, bands) for each line that holds a word; content tells rows with one id apart, id is a hash of the line, and no band is there twice."""
-    rows = lines_of(documents, text, key).select("doc_id", "content", "pos", F.xxhash64("line").alias("id"), signatures(F.col("line")).alias("s"))
-    rows = rows.select("doc_id", "content", "pos", "id", F.col("s.some").alias("some"), F.col("s.every").alias("every"))
-    return rows.select("doc_id", "content", "pos", "id", F.array_compact(F.array_distinct(F.array(*band_keys(F.col("some")), *band_keys(F.col("every"))))).alias("bands"))
+    rows = with_signatures(lines_of(documents, text, key).withColumn("id", F.xxhash64("line")))
+    keys = F.array(*band_keys(F.col("some")), *band_keys(F.col("every")))
+    return rows.select("doc_id", "content", "pos", "id", F.array_except(keys, F.array(F.lit(None).cast("long"))).alias("bands"))
 
 
 def lines_of(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, content, pos, line) for each line that holds a word."""
-    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "content", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return rows.withColumn("line", normalised(F.col("line"))).where("line <> ''")
 
 
@@ -163,8 +166,9 @@ def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
 
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` whose lines are similar enough."""
-    alike = jaccard(distinct_shingles(F.col("line_a")), distinct_shingles(F.col("line_b"))) >= similarity
-    return _both(pairs.select("id_a", "id_b").distinct(), texts, "line").where(alike).select("id_a", "id_b")
+    # staged, since a condition is pushed below the projections and computes what it needs once more at every place
+    met = staged(_met(pairs.select("id_a", "id_b").distinct(), texts, similarity).select("id_a", "id_b", "linked"), "met-pairs")
+    return met.where("linked").select("id_a", "id_b")
 
 
 def _shared_bands(marks: DataFrame) -> DataFrame:
@@ -182,17 +186,23 @@ def _shared_bands(marks: DataFrame) -> DataFrame:
     return shared.select("band", "id").join(center, "band")
 
 
-def _differing(only_x: Column, only_y: Column) -> Column:
-    """In how many shingles two lines differ, and the least hashes of these, from those that just one of them has."""
-    least = lambda s: F.transform(F.slice(F.sort_array(s), 1, TURNS), lambda h: F.shiftright(h, 32).cast("int"))
-    return let(F.concat(only_x, only_y), lambda s: F.struct(F.size(s).alias("differing"), least(s).alias("turns")))
+def _differences(rows: DataFrame) -> DataFrame:
+    """``rows`` with the Jaccard similarity of their arrays ``x`` and ``y`` (without repeats) in place of these, in how many elements they differ, and the least of those as ``turns``.
+
+    One projection a step, for the same reason as in with_signatures.
+    """
+    keep = [c for c in rows.columns if c not in ("x", "y")]
+    rows = rows.select(*keep, F.size("x").alias("n_x"), F.size("y").alias("n_y"), F.array_except("x", "y").alias("only_x"), F.array_except("y", "x").alias("only_y"))
+    jaccard = (F.col("n_x") - F.size("only_x")) / (F.col("n_y") + F.size("only_x"))
+    least = F.slice(F.sort_array(F.concat("only_x", "only_y")), 1, TURNS)
+    rows = rows.select(*keep, jaccard.alias("jaccard"), (F.size("only_x") + F.size("only_y")).alias("differing"), least.alias("least"))
+    return rows.select(*keep, "jaccard", "differing", narrowed("least", lambda h: F.shiftright(h, 32), "int").alias("turns"))
 
 
 def _met(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(id_a, id_b, linked, differing, turns) of each pair: whether its lines are similar, in how many and which shingles they differ."""
-    both = lambda x, y: let(F.array_except(x, y), lambda only: F.struct((jaccard_without(x, y, only) >= similarity).alias("linked"), _differing(only, F.array_except(y, x)).alias("s")))
-    got = let(distinct_shingles(F.col("line_a")), lambda x: let(distinct_shingles(F.col("line_b")), lambda y: both(x, y)))
-    return _both(pairs, texts, "line").select("id_a", "id_b", got.alias("m")).select("id_a", "id_b", "m.linked", "m.s.*")
+    rows = _both(pairs, texts, "line").select("id_a", "id_b", distinct_shingles(F.col("line_a")).alias("x"), distinct_shingles(F.col("line_b")).alias("y"))
+    return _differences(rows).select("id_a", "id_b", (F.col("jaccard") >= similarity).alias("linked"), "differing", "turns")
 
 
 def _near_centers(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -218,12 +228,12 @@ def _around_cores(near: DataFrame, texts: DataFrame, similarity: float) -> tuple
     few = few.select("center", F.explode("few").alias("id"), F.size("few").alias("many"))
     common = few.join(lines, ["center", "id"]).select("center", "many", F.explode("shingles").alias("h")).groupBy("center", "h", "many").agg(F.count("*").alias("k")).where("2 * k > many")
     core = common.groupBy("center").agg(F.collect_list("h").alias("core"))  # at most twice as many as a line has
-    seen = lines.join(core, "center").select("center", "id", "n", _differing(F.array_except("shingles", "core"), F.array_except("core", "shingles")).alias("s")).select("center", "id", "n", "s.*")
-    seen = staged(seen, "around-cores")
+    seen = _differences(lines.join(core, "center").select("center", "id", "n", F.col("shingles").alias("x"), F.col("core").alias("y")))
+    seen = staged(seen.drop("jaccard"), "around-cores")
     heads = seen.groupBy("center").agg(F.min(F.struct("differing", "id")).alias("x")).select("center", F.col("x.id").alias("head"))
     seen = seen.join(heads, "center")
-    found = _met(seen.where("id <> head").select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).distinct(), texts, similarity).where("linked").select(F.col("id_a").alias("head"), F.col("id_b").alias("id"))
-    links = staged(found, "core-links")
+    pairs = seen.where("id <> head").select(F.col("head").alias("id_a"), F.col("id").alias("id_b"))
+    links = _linked(pairs, texts, similarity).toDF("head", "id")
     out = seen.join(links.withColumn("linked", F.lit(True)), ["head", "id"], "left").select("center", "id", "n", (F.col("linked").isNotNull() | (F.col("id") == F.col("head"))).alias("linked"), "differing", "turns")
     return out, links
 
@@ -276,8 +286,7 @@ def line_components(documents: DataFrame, marks: DataFrame, similarity: float =
     shared = staged(_shared_bands(marks), "shared-bands")
     wanted = staged(shared.select("id").distinct(), "candidate-ids")
     lines = lines_of(documents, text, key).select(F.xxhash64("line").alias("id"), "line").join(_small(wanted), "id", "left_semi")
-    facts = let(distinct_shingles(F.col("line")), lambda h: F.struct(F.size(h).alias("n"), sketch_of(h).alias("sketch")))
-    texts = staged(lines.groupBy("id", "line").agg(F.lit(1)).select("id", "line", facts.alias("f")).select("id", "line", "f.*"), "candidates")
+    texts = staged(with_facts(lines.groupBy("id", "line").agg(F.lit(1))), "candidates")
     near = staged(_near_centers(shared, texts, similarity), "near-centers")
     odd, core_links = _around_cores(near, texts, similarity)
     odd = staged(odd, "odd-lines")

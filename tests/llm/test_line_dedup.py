@@ -192,3 +192,38 @@ def test_word_starts(spark):
     for r in df.select("line", ld.word_starts(df.line).alias("got")).collect():
         x = r.line
         assert r.got == [x[i : i + size] for i in range(len(x) - size + 1) if x[i] != " " and (i == 0 or x[i - 1] == " ")], x
+
+
+def interpreted(df):
+    """The arguments of higher-order functions in the plan of ``df``: what stands there is not compiled."""
+    plan, out = df._jdf.queryExecution().executedPlan().toString(), []
+    for name in ("transform(", "filter("):
+        at = plan.find(name)
+        while at >= 0:
+            end, depth = at + len(name), 1
+            while depth and end < len(plan):
+                depth += {"(": 1, ")": -1}.get(plan[end], 0)
+                end += 1
+            out.append(plan[at:end])
+            at = plan.find(name, at + 1)
+    return out
+
+
+def test_work_on_whole_arrays_is_compiled(spark):
+    """Sorting, telling apart and subtracting of hashes stand in projections, not inside lambdas nor in their arguments."""
+    df = spark.createDataFrame([(1, "some words\nother words")], "doc_id long, text string")
+    lines = spark.createDataFrame([(1, "a" * 9), (2, "a" * 10), (3, "a" * 9 + "b")], "id long, line string")
+    met = ld._met(spark.createDataFrame([(1, 2), (1, 3)], "id_a long, id_b long"), lines, ld.SIMILARITY)
+    for table in (ld.line_marks(df), met):
+        inside = interpreted(table)
+        assert inside and not [x for x in inside if any(f in x for f in ("sort_array", "array_distinct", "array_except", "array_intersect"))]
+    got = {r.id_b: r for r in met.collect()}
+    assert got[2].linked and got[2].differing == 0 and got[2].turns == []
+    assert not got[3].linked and got[3].differing == 1 and len(got[3].turns) == 1
+
+
+def test_blanks_at_the_ends_of_lines(spark):
+    blanks = " \t\x0b\x0c\r"
+    lines = [a + "Some Words\tin  it" + b for a in ("", *blanks, " \t") for b in ("", *blanks, "\r ")] + [blanks, "", "\x0b", " x "]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert {r.doc_id: r.line for r in ld.lines_of(df).collect()} == {i: norm(x) for i, x in enumerate(lines) if norm(x)}

@@ -30,10 +30,10 @@ BLOCK = 24
 PART, PART_STEP = 48, 24
 #: The latent space has so many dimensions, and as many more as every item part needs to keep KEPT of its norm.
 RANK, KEPT = 192, 0.95
-#: So many counts of two words a task holds (eight bytes each); more words of items are counted in several scans.
+#: So many counts of two words a task holds (four bytes each); more words of items are counted in several scans.
 PAIR_COUNTS = 1 << 24
-#: Counts among so many of the most frequent words are added for up to COMMON_STRIP passages at a time.
-COMMON, COMMON_STRIP = 256, 4096
+#: Counts among so many of the most frequent words lie together, where processors reach them soon.
+COMMON = 256
 #: Items that share a latent space: bounds its dimensions, and so what a task holds.
 ITEM_BLOCK = 512
 MIN_COSINE = 0.2
@@ -47,6 +47,8 @@ STRETCH = 1.5
 GROUP = 16
 #: Words of so many passages are counted together.
 STRIP = 16
+#: In so many passages no count of two words passes 32 bits; after them a task hands its counts on.
+FULL = (2**31 - 1) // (2 * BLOCK) ** 2 - STRIP - 1
 
 _TABLE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 MATCHES = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
@@ -92,6 +94,15 @@ def _ids(text: str | None, words: dict[bytes, int]) -> tuple[list[bytes], np.nda
     return own, np.fromiter(map(get, own, repeat(none)), np.int32, len(own))
 
 
+def _numbered(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of ``ids``, which are below ``n``, in order, and the place of each id among them; found by flags, without sorting."""
+    there, place = np.zeros(n, bool), np.empty(n, np.intp)
+    there[ids] = True
+    distinct = np.flatnonzero(there)
+    place[distinct] = np.arange(len(distinct))
+    return distinct, place[ids]
+
+
 def _passages(ids: np.ndarray, space: Space) -> np.ndarray:
     """The latent vector of each passage of a text, over the norm of its TF-IDF vector (repeats in a passage aside).
 
@@ -99,7 +110,7 @@ def _passages(ids: np.ndarray, space: Space) -> np.ndarray:
     must not hide the item in it.
     """
     known = np.flatnonzero(ids < len(space.words))
-    places, own = np.unique(ids[known], return_inverse=True)
+    places, own = _numbered(ids[known], len(space.words))
     blocks = -(-len(ids) // BLOCK)
     tf = np.bincount(known // BLOCK * len(places) + own, minlength=blocks * len(places)).reshape(blocks, len(places)).astype(np.float32)
     sums, norms = tf @ space.basis[places], tf @ space.squares[places]
@@ -118,7 +129,7 @@ def _rooms(ids: np.ndarray, space: Space, share: float) -> Iterator[tuple[int, i
     step = max(GROUP, -(-longest // BLOCK))
     for a in range(0, ends, step):
         end = (min(a + step, ends) + 1) * BLOCK
-        near = np.unique(ids[max(0, a * BLOCK - longest) : end + longest])
+        near, _ = _numbered(ids[max(0, a * BLOCK - longest) : end + longest], len(space.holds))
         room = space.holds[near].sum(axis=0, dtype=np.int32) >= share * space.sizes
         if room.any():
             yield a, end, np.flatnonzero(room[space.part_item])
@@ -130,7 +141,7 @@ def _counts(ids: np.ndarray, n: int, more: bool) -> tuple[np.ndarray, np.ndarray
     A single block is a passage of its own, unless ``more`` says that it is the end of a longer text.
     """
     at = np.flatnonzero(ids < n)
-    places, own = np.unique(ids[at], return_inverse=True)
+    places, own = _numbered(ids[at], n)
     blocks = -(-len(ids) // BLOCK)
     tf = np.bincount(at // BLOCK * len(places) + own, minlength=blocks * len(places)).reshape(blocks, len(places))
     if blocks > 1 or more:
@@ -155,40 +166,42 @@ def _together(documents: DataFrame, words: dict[bytes, int], text: str, pair_cou
     for low in range(0, n, own_rows):
         high = min(n, low + own_rows)
 
-        def run(batches: Iterator[pa.RecordBatch], low: int = low, high: int = high) -> Iterator[pa.RecordBatch]:
-            pairs, holds = np.zeros((high - low) * n), np.zeros(n + 1, np.int64)
-            common, held, many = np.zeros((corner, corner)), [], 0
+        def counted(pairs: np.ndarray, common: np.ndarray, low: int = low, high: int = high) -> Iterator[pa.RecordBatch]:
+            pairs = pairs.reshape(high - low, n)
+            if corner:
+                pairs[:corner, :corner], pairs[:corner, corner:] = common.reshape(corner, corner), pairs[corner:, :corner].T
+            seen = np.flatnonzero(pairs.any(axis=1))
+            for a in range(0, len(seen), 256):
+                some = seen[a : a + 256]
+                yield pa.RecordBatch.from_arrays([pa.array((some + low).astype(np.int32)), pa.array([narrow(pairs[k]) for k in some], pa.binary())], ["w", "row"])
+            pairs[:], common[:] = 0, 0
+
+        def run(batches: Iterator[pa.RecordBatch], low: int = low, high: int = high, counted=counted) -> Iterator[pa.RecordBatch]:
+            pairs, common = np.zeros((high - low) * n, np.int32), np.zeros(corner * corner, np.int32)
+            holds, many = np.zeros(n + 1, np.int64), 0
             for b in batches:
                 for t in b.column(0):
                     _, ids = _ids(t.as_py(), words)
-                    holds[np.unique(ids[ids < n])] += 1
+                    own, _ = _numbered(ids, n + 1)
+                    holds[own[own < n]] += 1
                     holds[n] += 1
                     for a in range(0, len(ids), STRIP * BLOCK):
                         places, tf = _counts(ids[a : a + (STRIP + 1) * BLOCK], n, a > 0)
                         tf = tf.astype(np.float32)
                         first, last = np.searchsorted(places, (max(low, corner), high))
+                        both = (tf.T @ tf).astype(np.int32)
                         at = (places[first:last, None] - low) * n + places
-                        pairs[at.ravel()] += (tf[:, first:last].T @ tf).ravel()
+                        pairs[at.ravel()] += both[first:last].ravel()
                         if corner:
-                            held.append(np.zeros((len(tf), corner), np.float32))
-                            held[-1][:, places[:first]] = tf[:, :first]
-                            many += len(tf)
-                        if many >= COMMON_STRIP:
-                            x = np.concatenate(held)
-                            common += x.T @ x
-                            held, many = [], 0
-            pairs = pairs.reshape(high - low, n)
-            if held:
-                x = np.concatenate(held)
-                common += x.T @ x
-            if corner:
-                pairs[:corner, :corner], pairs[:corner, corner:] = common, pairs[corner:, :corner].T
+                            at = places[:first, None] * corner + places[:first]
+                            common[at.ravel()] += both[:first, :first].ravel()
+                        many += len(tf)
+                        if many > FULL:
+                            yield from counted(pairs, common)
+                            many = 0
             if low == 0:  # the counts of documents take the place of a word before the first
                 yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([holds.tobytes()], pa.binary())], ["w", "row"])
-            seen = np.flatnonzero(pairs.any(axis=1))
-            for a in range(0, len(seen), 256):
-                some = seen[a : a + 256]
-                yield pa.RecordBatch.from_arrays([pa.array((some + low).astype(np.int32)), pa.array([narrow(pairs[k]) for k in some], pa.binary())], ["w", "row"])
+            yield from counted(pairs, common)
 
         part = documents.select(text).mapInArrow(run, "w int, row binary")
         rows = part if rows is None else rows.unionByName(part)

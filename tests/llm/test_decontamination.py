@@ -176,3 +176,19 @@ def test_the_space_is_fitted_to_every_passage(spark, monkeypatch):
         together, seen, n = d._together(docs, words, "text", pair_counts)
         got = {r.w: np.frombuffer(bytes(r.row), np.int64) for r in together.collect()}
         assert n == len(texts) and (seen == holds).all() and (np.array([got[k] for k in range(40)]) == want).all()
+
+
+def test_counts_are_handed_on_before_they_pass_32_bits(spark, monkeypatch):
+    """A task that hands its counts on again and again ends with the same sums; and FULL passages of two words alone stay within 32 bits."""
+    assert (d.FULL + d.STRIP + 1) * (2 * d.BLOCK) ** 2 < 2**31
+    rng = random.Random(8)
+    words = {f"w{k}".encode(): k for k in range(30)}
+    docs = spark.createDataFrame([(" ".join(rng.choices([w.decode() for w in words], k=200)),) for _ in range(300)], "text string").coalesce(1)
+    sums = []
+    for full in (d.FULL, 20):
+        monkeypatch.setattr(d, "FULL", full)
+        together, seen, n = d._together(docs, words, "text")
+        sums.append(({r.w: bytes(r.row) for r in together.collect()}, seen.tolist(), n))
+    assert len(sums[0][0]) == 30 and sums[0] == sums[1]
+    own, place = d._numbered(np.array([7, 2, 7, 30, 2], np.int32), 31)
+    assert own.tolist() == [2, 7, 30] and place.tolist() == [1, 0, 1, 2, 0]

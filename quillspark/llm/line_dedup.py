@@ -48,11 +48,15 @@ TURNS, TURN_BANDS, TURN_SLACK = 128, 12, 0.11
 BROADCAST_ROWS = 1_000_000
 
 
-def normalised(line: Column) -> Column:
+def trimmed(line: Column) -> Column:
     # trimming by a set of characters looks at the whole line, so only lines that need it are trimmed
     blanks = " \t\x0b\x0c\r"
     padded = reduce(Column.__or__, [end(line, F.lit(c)) for c in blanks for end in (F.startswith, F.endswith)])
-    return F.lower(F.when(padded, F.btrim(line, F.lit(blanks))).otherwise(line))
+    return F.when(padded, F.btrim(line, F.lit(blanks))).otherwise(line)
+
+
+def normalised(line: Column) -> Column:
+    return F.lower(trimmed(line))
 
 
 def shingle_hashes(line: Column, size: int = SHINGLE_CHARS) -> Column:
@@ -69,7 +73,7 @@ def shingle_hashes(line: Column, size: int = SHINGLE_CHARS) -> Column:
 def word_starts(line: Column, size: int = SIGNED_CHARS) -> Column:
     """The windows of ``size`` characters that begin a word."""
     # a space before the line makes all starts alike: the pattern can begin with one plain character
-    return F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(rf"(?s) (?=([^ ]{'.' * (size - 1)}))"), F.lit(1))
+    return F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(rf"(?s) (?=([^ ].{{{size - 1}}}))"), F.lit(1))
 
 
 def signature(least: Column) -> Column:
@@ -144,7 +148,8 @@ def lines_of(documents: DataFrame, text: str = "text", key: str = "doc_id") -> D
     """(doc_id, content, pos, line) for each line that holds a word."""
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "content", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.withColumn("line", normalised(F.col("line"))).where("line <> ''")
+    # a condition on the line in lower case would be pushed below it, and each line made lower twice
+    return rows.where(trimmed(F.col("line")) != "").withColumn("line", normalised(F.col("line")))
 
 
 def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -200,17 +205,17 @@ def _differences(rows: DataFrame) -> DataFrame:
 
 
 def _met(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(id_a, id_b, linked, differing, turns) of each pair: whether its lines are similar, in how many and which shingles they differ."""
-    rows = _both(pairs, texts, "line").select("id_a", "id_b", distinct_shingles(F.col("line_a")).alias("x"), distinct_shingles(F.col("line_b")).alias("y"))
-    return _differences(rows).select("id_a", "id_b", (F.col("jaccard") >= similarity).alias("linked"), "differing", "turns")
+    """``pairs`` with (linked, differing, turns) of each: whether its lines are similar, in how many and which shingles they differ."""
+    rows = _both(pairs, texts, "line").select(*pairs.columns, distinct_shingles(F.col("line_a")).alias("x"), distinct_shingles(F.col("line_b")).alias("y"))
+    return _differences(rows).select(*pairs.columns, (F.col("jaccard") >= similarity).alias("linked"), "differing", "turns")
 
 
 def _near_centers(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(center, id, n, linked, differing, turns) for each line near a center."""
     pairs = shared.where("id <> center").select(F.col("center").alias("id_a"), F.col("id").alias("id_b")).distinct()
     pairs = _both(pairs, texts, "n", "sketch").where(could_reach(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), NEAR, 0))
-    near = _met(pairs.select("id_a", "id_b"), texts, similarity).select(F.col("id_a").alias("center"), F.col("id_b").alias("id"), "linked", "differing", "turns")
-    return near.join(texts.select("id", "n"), "id")
+    near = _met(pairs.select("id_a", "id_b", "n_b"), texts, similarity)
+    return near.select(F.col("id_a").alias("center"), F.col("id_b").alias("id"), F.col("n_b").alias("n"), "linked", "differing", "turns")
 
 
 def _around_cores(near: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:

@@ -227,3 +227,21 @@ def test_blanks_at_the_ends_of_lines(spark):
     lines = [a + "Some Words\tin  it" + b for a in ("", *blanks, " \t") for b in ("", *blanks, "\r ")] + [blanks, "", "\x0b", " x "]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     assert {r.doc_id: r.line for r in ld.lines_of(df).collect()} == {i: norm(x) for i, x in enumerate(lines) if norm(x)}
+
+
+def test_lines_are_made_lower_once(spark):
+    """Whether a line holds a word is told without its lower case, in both scans of the documents."""
+    df = spark.createDataFrame([(1, "Some Words\n \t\nÉTÉ")], "doc_id long, text string")
+    lines = ld.lines_of(df)
+    assert [(r.pos, r.line) for r in lines.collect()] == [(0, "some words"), (2, "été")]
+    for table in (lines, ld.line_marks(df)):
+        assert table._jdf.queryExecution().executedPlan().toString().count("lower(") == 1
+
+
+def test_sizes_of_lines_near_a_center_come_with_the_pairs(spark):
+    """A line's size is read with its sketch, not joined once more to its differences."""
+    shared = spark.createDataFrame([(7, 1, 1), (7, 2, 1)], "band long, id long, center long")
+    texts = ld.with_facts(spark.createDataFrame([(1, "a line of words in it"), (2, "a line of words in it!")], "id long, line string"))
+    near = ld._near_centers(shared, texts, ld.SIMILARITY)
+    assert [(r.center, r.id, r.n, r.linked) for r in near.collect()] == [(1, 2, 15, True)]
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 4

@@ -13,8 +13,15 @@ def _whole(x: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """Bytes as "n B", or KB, MB and GB with one digit."""
-    unit = lambda power, name: F.concat(F.format_string("%.1f", n / 1024.0**power), F.lit(f" {name}"))
+    """Bytes as "n B", or KB, MB and GB with one digit; what lies halfway goes to the even digit, as in C and Rust, where Java's formats go up."""
+
+    def unit(power: int, name: str) -> Column:
+        bits, half = 10 * power, 1 << (10 * power - 1)
+        whole, parts = F.shiftright(n.cast("long"), bits), n.cast("long").bitwiseAND(2 * half - 1) * 10
+        tenths, rest = whole * 10 + F.shiftright(parts, bits), parts.bitwiseAND(2 * half - 1)
+        tenths = tenths + ((rest > half) | ((rest == half) & (tenths % 2 == 1))).cast("long")
+        return F.concat(_whole(tenths / 10), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {name}"))
+
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, unit(1, "KB")).when(n < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
 
 

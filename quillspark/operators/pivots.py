@@ -14,13 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import cosine_distance, dot, norm
+from ..functions.vectors import dot, norm
 from ..sources.scratch import scratch_path, staged
+from .vector_blocks import top_in_rings
 
 #: Pivots, the rows of the bounded sample they are chosen from, and rings a pivot.
 PIVOTS, SAMPLE_ROWS, RINGS = 48, 4096, 12
-#: Queries that are answered at a time.
-QUERY_BLOCK = 2048
 #: Bytes of a row group of vectors.
 GROUP_BYTES = 1 << 20
 #: Distances are rounded and computed in double precision; bounds give way by so much.
@@ -85,8 +84,8 @@ def _ring_bounds(spark, path: str, queries: DataFrame) -> DataFrame:
     return near.unionByName(odd.select("query_id", "pivot", "ring", "rows", F.lit(0.0).alias("bound")))
 
 
-def _scan(spark, path: str, visits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Distances of each query to the vectors of the rings it visits; row groups of rings that nobody visits are skipped."""
+def _scan(spark, path: str, visits: DataFrame, queries: DataFrame, asked: int, k: int) -> DataFrame | None:
+    """The ``k`` nearest vectors, and others, of each query in the rings it visits (query_id, pivot, ring, __far), no farther than __far; row groups of rings that nobody visits are skipped."""
     wanted = visits.select("pivot", "ring").distinct().collect()  # PIVOTS times RINGS rows at most
     if not wanted:
         return None
@@ -95,36 +94,34 @@ def _scan(spark, path: str, visits: DataFrame, queries: DataFrame) -> DataFrame:
         by_pivot.setdefault(r["pivot"], []).append(r["ring"])
     for pivot, own in by_pivot.items():
         chosen = chosen | ((F.col("pivot") == pivot) & F.col("ring").isin(own))
-    rows = spark.read.parquet(f"{path}/vectors").where(chosen)
-    asked = visits.join(queries, "query_id").withColumn("__qn", norm(F.col("query_vec")))
-    out = rows.withColumn("__n", norm(F.col("embedding"))).join(F.broadcast(asked), ["pivot", "ring"])  # QUERY_BLOCK queries at most
-    return out.withColumn("distance", F.round(cosine_distance(F.col("embedding"), F.col("query_vec"), F.col("__n"), F.col("__qn")), 9)).drop("__n", "__qn", "query_vec", "embedding", "bound", "rows", "away", "pivot", "ring")
+    sizes = {r["pivot"]: r["n"] for r in spark.read.parquet(f"{path}/rings").groupBy("pivot").agg(F.sum("rows").alias("n")).collect() if r["pivot"] in by_pivot}
+    # a query goes to a pivot once, with its rings there
+    each = visits.groupBy("query_id", "pivot").agg(F.collect_list("ring").alias("__rings"), F.max("__far").alias("__far")).join(queries, "query_id")
+    return top_in_rings(spark.read.parquet(f"{path}/vectors").where(chosen), each, sizes, asked, k)
 
 
-def nearest_k(spark, path: str, queries: DataFrame, k: int, seen: list | None = None) -> DataFrame:
-    """The ``k`` nearest vectors of each of ``queries`` (query_id, query_vec), nearest first, then by vec_id: the columns of the vectors, query_id, distance, r.
+def nearest_k(spark, path: str, queries: DataFrame, k: int, seen: list | None = None) -> DataFrame | None:
+    """The ``k`` nearest vectors of each of ``queries`` (query_id, query_vec), nearest first, then by vec_id: the columns of the vectors, query_id, distance, r; None if there is nothing to compare.
 
     First each query visits rings by their bounds until they hold k vectors;
     the farthest of its k nearest there then says which other rings it needs.
-    Queries are answered QUERY_BLOCK at a time.  ``seen`` gets the share of
-    query and vector pairs that were compared.
+    ``seen`` gets the share of query and vector pairs that were compared.
     """
-    numbered = staged(queries.select("query_id", "query_vec").withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK))))), "queries")
-    by, out = Window.partitionBy("query_id").orderBy("distance", "vec_id"), None
-    for (b,) in sorted(numbered.select("__b").distinct().collect()):
-        own = numbered.where(F.col("__b") == b).drop("__b")
-        bounds = staged(_ring_bounds(spark, path, own), "bounds")
-        order = Window.partitionBy("query_id").orderBy("bound", "pivot", "ring")
-        before = F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        first = staged(bounds.withColumn("before", before).where(F.col("before") < k).drop("before"), "visits")
-        met = staged(_scan(spark, path, first, own).withColumn("r", F.row_number().over(by)).where(F.col("r") <= k), "met")
-        # a cosine distance x is a Euclidean one of sqrt(2x); distances are rounded, so a little more is let in
-        reach = met.groupBy("query_id").agg(F.max(F.when(F.col("r") == k, F.sqrt(2 * (F.col("distance") + 1e-9)))).alias("reach"))
-        more = staged(bounds.join(first.select("query_id", "pivot", "ring"), ["query_id", "pivot", "ring"], "left_anti").join(reach, "query_id").where("reach is null or bound <= reach"), "visits").drop("reach")
-        rest = _scan(spark, path, more, own)
-        every = met if rest is None else met.drop("r").unionByName(rest).withColumn("r", F.row_number().over(by)).where(F.col("r") <= k)
-        out = every if out is None else out.unionByName(every)
-        if seen is not None:
-            total = bounds.agg(F.sum("rows")).first()[0]
-            seen.append((first.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] + more.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], total))
-    return out
+    own = staged(queries.select("query_id", "query_vec"), "queries")
+    by, asked = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id"), own.count()
+    bounds = staged(_ring_bounds(spark, path, own), "bounds")
+    order = Window.partitionBy("query_id").orderBy("bound", "pivot", "ring")
+    before = F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = staged(bounds.withColumn("before", before).where(F.col("before") < k).select("query_id", "pivot", "ring", "rows", F.lit(None).cast("double").alias("__far")), "visits")
+    near = _scan(spark, path, first, own, asked, k)
+    if near is None:
+        return None
+    met = staged(near.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k), "met")
+    # a cosine distance x is a Euclidean one of sqrt(2x); distances are rounded, so a little more is let in
+    reach = met.groupBy("query_id").agg(F.max(F.when(F.col("r") == k, F.col("distance"))).alias("__far")).withColumn("reach", F.sqrt(2 * (F.col("__far") + 1e-9)))
+    more = staged(bounds.join(first.select("query_id", "pivot", "ring"), ["query_id", "pivot", "ring"], "left_anti").join(reach, "query_id").where("reach is null or bound <= reach").select("query_id", "pivot", "ring", "rows", "__far"), "visits")
+    rest = _scan(spark, path, more, own, asked, k)
+    if seen is not None:
+        total = bounds.agg(F.sum("rows")).first()[0]
+        seen.append((first.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] + more.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], total))
+    return met if rest is None else met.drop("r").unionByName(rest).withColumn("r", F.row_number().over(by)).where(F.col("r") <= k)

@@ -14,6 +14,7 @@ from ..operators import batching, chunking, fusion, metrics, nearest, sinks
 from ..operators import fulltext as ft
 from ..operators import provider as pv
 from ..sources import derived
+from ..sources.scratch import staged
 from ..sources.tables import read_table
 from . import hybrid
 from .lexical import search_sql
@@ -155,9 +156,11 @@ def rerank_cached(s, d):
     """Every document for the queries of every twentieth item; the cache has the answers for documents of even ids."""
     b = read_table(s, d, "benchmark").where("item_id % 20 = 0").select(F.substring_index("text", " ", 3).alias("query"))
     docs = read_table(s, d, "documents").select("doc_id", F.col("text").alias("chunk"))
-    rows = docs.crossJoin(F.broadcast(b))  # the stated query set against all rows
-    cache = rows.where("doc_id % 2 = 0").select(pv.cache_key("rerank", query=F.col("query"), model=F.lit(pv.RERANK_MODEL), chunk=F.col("chunk")).alias("key"), F.lit("0.5").alias("result")).distinct()
-    out = pv.rerank_cached(rows, cache, pv.MockProvider())
+    # the stated query set against all rows; keys stand for the texts, which stay where they are
+    key = pv.cache_key("rerank", query=F.col("query"), model=F.lit(pv.RERANK_MODEL), chunk=F.col("chunk"))
+    rows = staged(docs.crossJoin(F.broadcast(b)).select("doc_id", "query", F.unhex(key).alias("key")), "keyed")
+    cache = rows.where("doc_id % 2 = 0").select("key", F.lit("0.5").alias("result")).distinct()
+    out = pv.rerank_apart(rows, docs, cache, pv.MockProvider())
     return out.select("doc_id", "query", F.round("rerank", 6).alias("rerank"), "cached")
 
 
